@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import similarity as S
 from ..functions import text as X
-from ..operators import assignment, blocking, features, labels, metrics, mining, sampling, validation, weights
+from ..operators import assignment, blocking, features, labels, metrics, mining, models, sampling, validation, weights
 from ..operators.represent import represent, with_phonetics
 from ..sources import records as R
 from ..sources import sinks
@@ -749,3 +749,46 @@ def link_records(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_records(spark, sf_dir)
+
+
+# --- models
+
+
+def _labelled(spark, d):
+    """Pairs of parts with the basic features; truth is the same name, country and postal code."""
+    s1, targets = R.split_sources(part(spark, d))
+    pairs = blocking.block_v1(s1, targets, 60, 10, "truncate").select("s1_id", "cand_id", F.col("rank"), "score")
+    made = features.features(pairs, represent(s1), represent(targets))
+    return labels.label(made, R.truth_part(part(spark, d)))
+
+
+def _split_rows(spark, d):
+    rows = sampling.grouped_holdout(_labelled(spark, d), percent=30)
+    return rows.filter(~F.col("held_out")), rows.filter(F.col("held_out"))
+
+
+_SMALL = "small"
+
+
+@query()
+def gbt_scores(spark, d):
+    inside, outside = _split_rows(spark, d)
+    p = models.Preset(8, 4, 0.2)
+    return models.score(models.train(inside, features.BASE_FEATURES, p), outside).select("s1_id", "cand_id", "label", F.round("prob", 6).alias("prob"))
+
+
+@query()
+def stacked_scores(spark, d):
+    inside, outside = _split_rows(spark, d)
+    return models.score(models.train(inside, features.BASE_FEATURES, models.PRESETS[_SMALL]), outside).select("s1_id", "cand_id", "label", F.round("prob", 6).alias("prob"))
+
+
+@query()
+def auc(spark, d):
+    return spark.createDataFrame([(models.auc(gbt_scores(spark, d)),)], "auc double")
+
+
+@query()
+def importance(spark, d):
+    inside, _ = _split_rows(spark, d)
+    return spark.createDataFrame(models.importance(models.train(inside, features.BASE_FEATURES, models.Preset(8, 4, 0.2))), "feature string, importance double")
