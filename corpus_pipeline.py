@@ -34,7 +34,7 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group."""
-    return simhash.without_near_duplicates(docs.select(*COLUMNS))
+    return simhash.without_near_duplicates(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
