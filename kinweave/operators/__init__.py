@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators on records, pairs and links."""

@@ -1 +1 @@
-"""plans of the engine."""
+"""End-to-end plans and the registered queries."""

@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources and sinks."""
