@@ -103,6 +103,8 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, default: fl
     return timed.select(*[F.col(f"`{c}`") for c in docs.columns], "kw_source", "kw_number", "kw_block", "kw_slot")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text", **how) -> DataFrame:
     """``docs``, same columns and rows, stored in the order of the mix: range-partitioned and sorted by slot."""
-    return placed(docs, **how).repartitionByRange("kw_slot", "kw_number").sortWithinPartitions("kw_slot", "kw_number").select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name clashes with a helper's
+    timed = placed(docs.toDF(*place.values()), id_col=place[id_col], source_col=place[source_col], text_col=text_col and place[text_col], **how)
+    return timed.repartitionByRange("kw_slot", "kw_number").sortWithinPartitions("kw_slot", "kw_number").select(*place.values()).toDF(*place)

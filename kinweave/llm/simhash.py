@@ -216,10 +216,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, that of the smallest id (and text hash); all columns as they are."""
-    key, text_hash = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
-    marked = docs.select(F.struct(key.alias("id"), text_hash.alias("text_hash")).alias("kw_row"), F.col(f"`{text_col}`").alias("kw_text"))
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name clashes with a helper's
+    rows = docs.toDF(*place.values())
+    key, text = F.col(place[id_col]), F.col(place[text_col])
+    marked = rows.select(F.struct(key.alias("id"), F.xxhash64(text).alias("text_hash")).alias("kw_row"), text.alias("kw_text"))
     groups = similar_groups(marked, words, similarity, "kw_row", "kw_text")
     keep = groups.select("component_id").distinct().select(F.col("component_id.id").alias("kw_id"), F.col("component_id.text_hash").alias("kw_hash"))
-    kept = docs.join(keep, key.eqNullSafe(F.col("kw_id")) & (text_hash == F.col("kw_hash")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(key, text_hash).orderBy(key))  # equal rows
-    return kept.withColumn("kw_first", first).filter(F.col("kw_first") == 1).drop("kw_first")
+    kept = rows.join(keep, key.eqNullSafe(F.col("kw_id")) & (F.xxhash64(text) == F.col("kw_hash")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(key))  # equal rows
+    return kept.withColumn("kw_first", first).filter(F.col("kw_first") == 1).select(*place.values()).toDF(*place)

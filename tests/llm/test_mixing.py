@@ -41,7 +41,7 @@ def test_rows_are_all_placed_once(spark, documents):
 
 
 def test_order_is_stored_and_reproducible(spark, documents, tmp_path):
-    docs = documents([(i, f"t{i}", f"s{i % 4}") for i in range(300)]).withColumn("kw", F.lit(1))
+    docs = documents([(i, f"t{i}", f"s{i % 4}") for i in range(300)]).withColumn("kw_slot", F.lit(1))
     a, b = (mixing.mix(d, block_rows=4, period=40) for d in (docs, docs.repartition(7)))
     assert a.columns == docs.columns and a.collect() == b.collect()
 

@@ -80,7 +80,7 @@ def test_whole_query(spark):
 
 def test_one_of_each_group(documents):
     words = " ".join(f"w{i}" for i in range(300))
-    docs = documents([(5, words), (3, words), (3, words), (9, words + "  "), (4, "something else entirely, of other words"), (7, ""), (8, None), (None, "only here")]).selectExpr("*", "1 as fp", "2 as label")
+    docs = documents([(5, words), (3, words), (3, words), (9, words + "  "), (4, "something else entirely, of other words"), (7, ""), (8, None), (None, "only here")]).selectExpr("*", "1 as fp", "2 as label", "3 as kw_id", "4 as kw_first")
     got = simhash.without_near_duplicates(docs)
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 3, 4, 7]
