@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: [\x20\x09-\x0D], which is stripped from both ends of a line for its key.
 BLANKS = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,12 +51,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError(f"keep: 'first' or 'none', not {keep!r}")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.posexplode(lines(F.col(f"`{text_col}`"))).alias("pos", "line"))
     keyed = rows.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
-    hashed = keyed.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    # Written once: the range bounds are sampled from these thin rows, and no text is read or split again.
+    hashed = scratch.table(keyed.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
     # One row for each document that has the line. The range keys are the grouping keys: this needs no further exchange.
     ranged = hashed.repartitionByRange("h1", "h2", "id", "text_hash").sortWithinPartitions("h1", "h2", "id", "text_hash", "pos")
     found = ranged.groupBy("h1", "h2", "id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # Within a range a key's rows stream past in order; only one row of each key and range goes on.
     keys = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("id", "text_hash")).alias("first")).filter(F.col("n_docs") >= min_docs)
+    # Written too: a join of stored keys is broadcast if they are few, and else has an exchange whose hot parts can be split.
+    keys = scratch.table(keys)
     hit = found.join(keys.withColumnsRenamed({"h1": "k1", "h2": "k2"}), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     if keep == "first":
         is_first = F.col("id").eqNullSafe(F.col("first.id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))
