@@ -229,3 +229,34 @@ def key_recall(query_keys: DataFrame, target_keys: DataFrame, truth: DataFrame)
     union = hit.select("s1_id", "cand_id").distinct().agg(F.count(F.lit(1)).alias("hits")).select(F.lit("any").alias("kind"), "hits")
     total = truth.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
     return each.unionByName(union).join(F.broadcast(total)).select("kind", "hits", (F.col("hits") / F.col("total")).alias("recall"))
+
+
+def key_misses(query_keys: DataFrame, target_keys: DataFrame, truth: DataFrame, most: int = 10) -> DataFrame:
+    """s1_id, cand_id: the first true pairs in order that share no key of any kind."""
+    q = query_keys.select(F.col("entity_id").alias("s1_id"), "key")
+    t = target_keys.select(F.col("entity_id").alias("cand_id"), "key")
+    hit = truth.join(q, "s1_id").join(t, ["cand_id", "key"]).select("s1_id", "cand_id").distinct()
+    return truth.select("s1_id", "cand_id").distinct().join(hit, ["s1_id", "cand_id"], "left_anti").orderBy("s1_id", "cand_id").limit(most)
+
+
+def blend_grid(step: float = 0.2) -> list[tuple[float, float, float, float]]:
+    """All weights of (cosine, name, address, keys) in steps that sum to 1."""
+    n = round(1 / step)
+    return [(a / n, b / n, c / n, (n - a - b - c) / n) for a in range(n + 1) for b in range(n + 1 - a) for c in range(n + 1 - a - b)]
+
+
+def tune_blend(parts: DataFrame, truth: DataFrame, grid: list[tuple[float, float, float, float]] | None = None, ks: tuple[int, ...] = (30, 100)) -> DataFrame:
+    """w_cosine, w_name, w_addr, w_keys, k, hits, recall for every blend. ``parts``: ``rerank`` rows, parts in their row.
+
+    The grid is a literal array that is exploded in front of one window: one job for all blends.
+    """
+    names = ("w_cosine", "w_name", "w_addr", "w_keys")
+    tried = parts.select("s1_id", "cand_id", "cosine", "fuzzy_name", "fuzzy_addr", "key_share", F.inline(F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(names, w)]) for w in (grid or blend_grid())])))
+    final = F.col("w_cosine") * F.least(F.col("cosine") * COSINE_GAIN, F.lit(1.0)) + F.col("w_name") * F.col("fuzzy_name") + F.col("w_addr") * F.col("fuzzy_addr") + F.col("w_keys") * F.col("key_share")
+    place = F.row_number().over(Window.partitionBy(*names, "s1_id").orderBy(F.desc(F.round(final, 9)), "cand_id"))
+    ranked = tried.withColumn("place", place).filter(F.col("place") <= max(ks))
+    true = truth.select("s1_id", "cand_id").distinct()
+    hits = ranked.join(true.withColumn("t", F.lit(1)), ["s1_id", "cand_id"], "left").groupBy(*names).agg(*[F.count_if((F.col("place") <= k) & F.col("t").isNotNull()).alias(f"k{k}") for k in ks])
+    total = true.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
+    each = hits.select(*names, F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("hits")) for k in ks])))
+    return each.join(F.broadcast(total)).select(*names, "k", "hits", (F.col("hits") / F.col("total")).alias("recall"))

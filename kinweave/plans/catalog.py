@@ -252,6 +252,20 @@ def key_recall(spark, d):
     return blocking.key_recall(k(s1), k(targets), R.truth_doc(spark, d)).withColumn("recall", F.round("recall", 6))
 
 
+@query(f"with {O.parts(O.DOC)},\n{O.keys_v1()},\n{TRUTH_DOC}, hit as (select distinct s1_id, cand_id from truth join keys q on q.entity_id = s1_id join keys t on t.entity_id = cand_id and t.key = q.key) select s1_id, cand_id from truth where (s1_id, cand_id) not in (select (s1_id, cand_id) from hit) order by 1, 2 limit 10")
+def key_misses(spark, d):
+    s1, targets = _doc_sides(spark, d)
+    k = lambda x: blocking.keys_v1(blocking.key_parts(x))
+    return blocking.key_misses(k(s1), k(targets), R.truth_doc(spark, d))
+
+
+@query()
+def tune_rerank(spark, d):
+    s1, targets = _doc_sides(spark, d)
+    over = blocking.block_v2(s1, targets, V2_OVER, V2_CAPS, phonetic=False)
+    return blocking.tune_blend(blocking.rerank(over, s1, targets, V2_OVER), R.truth_doc(spark, d), ks=(1, 10))
+
+
 # --- pair features
 
 

@@ -40,6 +40,15 @@ def test_second_generation(spark, sides):
     assert r["final"] == pytest.approx(0.4 * min(1.4 * r["cosine"], 1) + 0.2 * r["fuzzy_addr"] + 0.4 * r["key_share"])
 
 
+def test_tuning(spark):
+    rows = [("a", "x", 0.7, 0.1, 0.0, 0.2), ("a", "y", 0.1, 0.9, 0.0, 0.1), ("b", "x", 0.3, 0.2, 0.5, 0.9), ("b", "z", 0.6, 0.1, 0.6, 0.1)]
+    parts = spark.createDataFrame(rows, "s1_id string, cand_id string, cosine double, fuzzy_name double, fuzzy_addr double, key_share double")
+    truth = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "q")], "s1_id string, cand_id string")
+    got = {(r["w_cosine"], r["k"]): r["hits"] for r in blocking.tune_blend(parts, truth, [(1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0)], (1, 2)).collect()}
+    assert got == {(1.0, 1): 1, (1.0, 2): 2, (0.0, 1): 2, (0.0, 2): 2}
+    assert len(blocking.blend_grid(0.5)) == 10 and all(abs(sum(w) - 1) < 1e-9 for w in blocking.blend_grid())
+
+
 def hub(spark, n):
     s1 = recs(spark, [("S1-1", "hub", None, "US")])
     return s1, recs(spark, [(f"S2-{i:03d}", "hub", None, "US") for i in range(n)])
