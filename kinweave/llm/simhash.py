@@ -183,14 +183,72 @@ def _alike(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "cls long, rep long")
 
 
+#: Entries of a block, about, when a key's entries are held against each other.
+ENTRY_BLOCK = 512
+
+
+def _undecided(entries: DataFrame, labels: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """cls, label, rep, rep_label: the alike pairs that meet under a key of ``entries`` (kind, key, cls) and lie in different groups.
+
+    Under each key all pairs of different groups are compared, but those within a group are not: the entries outside the
+    key's largest group are held against all others, block by block, so that no task has more than two blocks at a time.
+    """
+    least = round((similarity - TOLERANCE) * HASHES)
+    key = ["kind", "key"]
+    labelled = scratch.table(entries.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+    groups = labelled.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = groups.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter((F.col("most.n") < F.col("n")) & (F.col("n") > 2))  # of two entries one was the representative
+    blocks = lambda n: F.ceil(n / ENTRY_BLOCK)
+    mixed = mixed.select(*key, F.col("most.label").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("subs"), blocks(F.col("n")).alias("parts"))
+    rows = labelled.join(mixed, key).withColumn("asks", F.col("label") != F.col("main"))
+    own = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = rows.withColumn("part", own(F.col("parts"), 2)).withColumn("sub", every("subs")).withColumn("side", F.lit(False))
+    ask = rows.filter("asks").withColumn("sub", own(F.col("subs"), 1)).withColumn("part", every("parts")).withColumn("side", F.lit(True))
+    block = F.xxhash64(*key, "sub", "part").alias("block")
+    dealt = held.unionByName(ask).select(block, "side", "asks", "cls", "label").join(sigs, "cls").repartition("block").sortWithinPartitions("block")
+
+    def compare(cols: list[np.ndarray], sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side, asks, cls, label = cols
+        right = np.flatnonzero(~side)
+        for i in np.flatnonzero(side):
+            j = right[(label[right] != label[i]) & (~asks[right] | (cls[right] > cls[i]))]
+            j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= least]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(j), cls[i]), np.full(len(j), label[i]), cls[j], label[j])], names=["cls", "label", "rep", "rep_label"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
+            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("block", "side", "asks", "cls", "label")] + [sig]
+            kept = [np.concatenate(x) for x in zip(kept, new)] if kept else new
+            cuts = [0, *(np.flatnonzero(np.diff(kept[0]) != 0) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from compare([x[a:b] for x in kept[1:5]], kept[5][a:b])
+            kept = [x[cuts[-1] :] for x in kept]  # the block that may go on
+        if kept:
+            yield from compare(kept[1:5], kept[5])
+
+    return dealt.mapInArrow(run, "cls long, label long, rep long, rep_label long").distinct()
+
+
+def _star(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """key, fp: the pairs as edges for ``components``."""
+    return pairs.select(F.col(b).alias("key"), F.col(a).alias("fp")).unionByName(pairs.select(F.col(b).alias("key"), F.col(b).alias("fp"))).distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: groups of documents whose sets of shingles are alike, by way of links of ``similarity`` or more.
 
     SimHash within two bits only sees copies that differ in very few words (at a similarity of 0.8 fingerprints differ in
     about ten bits, more than any Hamming ball serves), so bands of min-wise hashes of the same shingles give further
     candidates. Under each table key the entry that meets most others (in a group of copies: their original) stands for
-    the key, and every other entry is held against it: as many comparisons as entries, never all pairs. Similarity is the
-    share of equal min-wise hashes.
+    the key, and every other entry is held against it. Then the pairs that meet under a key and are still in different groups
+    are compared (``_undecided``), so each pair that meets is decided or lies in one group anyway. Similarity is the share of
+    equal min-wise hashes.
     """
     marks = scratch.table(signatures(docs, words, id_col, text_col))
     classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -207,9 +265,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     same_fp = classes.select("cls", "fp").join(one_of.withColumnRenamed("cls", "rep"), "fp").select("cls", "rep")
     pairs = by_band.unionByName(by_bits).unionByName(same_fp).filter(F.col("cls") != F.col("rep")).distinct()
     alike = scratch.table(_alike(pairs, classes.select("cls", "sig"), similarity))
-    edges = alike.select(F.col("rep").alias("key"), F.col("cls").alias("fp")).unionByName(alike.select(F.col("rep").alias("key"), F.col("rep").alias("fp")).distinct())
-    labels = components(edges).select(F.col("fp").alias("cls"), "label")
-    grouped = classes.select("cls", "least_id").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labels = scratch.table(components(_star(alike, "cls", "rep")).select(F.col("fp").alias("cls"), "label"))
+    shared = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2)
+    met = multi.select(F.lit(0).alias("kind"), "key", "cls")
+    met = met.unionByName(near.join(classes.select("cls", "fp"), "fp").select(F.lit(1).alias("kind"), "key", "cls"))
+    met = met.unionByName(classes.select("cls", "fp").join(shared, "fp").select(F.lit(2).alias("kind"), F.col("fp").alias("key"), "cls"))
+    further = scratch.table(_undecided(met, labels, classes.select("cls", "sig"), similarity))
+    joined = components(_star(further, "label", "rep_label")).select(F.col("fp").alias("label"), F.col("label").alias("joined"))
+    labels = labels.unionByName(classes.join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label")))
+    grouped = classes.select("cls", "least_id").join(labels, "cls").join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
     roots = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     return marks.select("doc_id", "cls").join(grouped.select("cls", "label").join(roots, "label").select("cls", "component_id"), "cls").select("doc_id", "component_id")
 

@@ -40,3 +40,12 @@ def test_equal_words_and_empty_texts(documents):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
     assert got == {3: 1, 1: 1, 2: 2, 5: 2, 4: 2, 6: 6}
     assert simhash.similar_groups(documents([])).count() == 0
+
+
+def test_a_chain_of_versions_is_one_group(documents):
+    words = [f"w{i}" for i in range(304 + 20 * 60)]
+    texts = [" ".join(words[20 * v : 20 * v + 304]) for v in range(61)]  # 300 shingles, neighbours share 280 of 320
+    assert 0.87 < jaccard(*texts[:2]) < 0.88 and jaccard(texts[0], texts[2]) < 0.78
+    texts += [" ".join(words[: 300 + i] + [f"x{i}_{j}" for j in range(40)]) for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(enumerate(texts))).collect()}
+    assert {got[i] for i in range(61)} == {0}
