@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +126,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 2, id_c
 
 #: Min-wise hashes of a signature, and how the first of them make band keys: fixed odd factors from a fixed seed.
 HASHES, BANDS, ROWS = 256, 16, 4
-#: What the estimate may fall short of the similarity: its standard error at 0.8 is 0.025.
-TOLERANCE = 0.02
+#: What the estimate may fall short of the similarity before a pair is left out: four times its standard error at 0.8.
+#: The pairs that pass are decided by their sets of shingles.
+TOLERANCE = 0.1
+#: Pairs of a representative that are verified in one task, about.
+PAIR_BLOCK = 256
 
 
 def _factors() -> np.ndarray:
@@ -170,7 +174,7 @@ def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (cls, rep) whose signatures agree in the share that the similarity asks for."""
+    """The pairs (cls, rep) whose signatures agree in the share that the similarity asks for, less the tolerance."""
     least = round((similarity - TOLERANCE) * HASHES)
     both = pairs.join(sigs, "cls").join(sigs.select(F.col("cls").alias("rep"), F.col("sig").alias("rep_sig")), "rep").select("cls", "rep", "sig", "rep_sig")
 
@@ -183,6 +187,47 @@ def _alike(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "cls long, rep long")
 
 
+def _classes(docs: DataFrame, text_col: str) -> DataFrame:
+    """cls, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            cls = [xxhash.xxh64_intdigest(" ".join(_WORDS.findall(t.as_py() or "")).encode().translate(_LOWER), SEED) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(cls, np.uint64).view(np.int64), pa.int64()), batch["text"]], names=["cls", "text"])
+
+    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "cls long, text string")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """The ``pairs`` (cls, rep and other columns) whose sets of shingles have the similarity."""
+    least, columns = Fraction(str(similarity)), pairs.columns
+    needed = pairs.select("cls").unionByName(pairs.select(F.col("rep").alias("cls"))).distinct()
+    texts = scratch.table(_classes(docs, text_col).join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")))
+    # A representative of very many pairs is dealt into parts.
+    often = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias("parts"))
+    dealt = pairs.join(often, "rep").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
+    reps = texts.join(often, texts["cls"] == often["rep"]).select("rep", F.col("text").alias("rep_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(texts, "cls").join(reps, ["rep", "part"]).select(*columns, "text", "rep_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lambda t: np.unique(shingle_hashes(t or "", words))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                of: dict[int, np.ndarray] = {}
+                alike = []
+                for c, r, t, u in zip(*(batch[x].to_pylist() for x in ("cls", "rep", "text", "rep_text"))):
+                    a = of[c] if c in of else of.setdefault(c, shingles(t))
+                    b = of[r] if r in of else of.setdefault(r, shingles(u))
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    alike.append(common * least.denominator >= (len(a) + len(b) - common) * least.numerator)
+                yield batch.select(columns).filter(pa.array(alike, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema)
+
+
 #: Entries of a block, about, when a key's entries are held against each other.
 ENTRY_BLOCK = 512
 
@@ -247,8 +292,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     about ten bits, more than any Hamming ball serves), so bands of min-wise hashes of the same shingles give further
     candidates. Under each table key the entry that meets most others (in a group of copies: their original) stands for
     the key, and every other entry is held against it. Then the pairs that meet under a key and are still in different groups
-    are compared (``_undecided``), so each pair that meets is decided or lies in one group anyway. Similarity is the share of
-    equal min-wise hashes.
+    are compared (``_undecided``), so each pair that meets is decided or lies in one group anyway. The share of
+    equal min-wise hashes leaves out pairs far from the similarity; the others are decided by their sets of shingles.
     """
     marks = scratch.table(signatures(docs, words, id_col, text_col))
     classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -264,13 +309,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     by_bits = near.join(ends, "key").filter(F.col("fp") != F.col("rep_fp")).select("fp", "rep_fp").distinct().join(one_of.withColumnRenamed("cls", "a"), "fp").join(one_of.select(F.col("fp").alias("rep_fp"), F.col("cls").alias("b")), "rep_fp").select(F.col("a").alias("cls"), F.col("b").alias("rep"))
     same_fp = classes.select("cls", "fp").join(one_of.withColumnRenamed("cls", "rep"), "fp").select("cls", "rep")
     pairs = by_band.unionByName(by_bits).unionByName(same_fp).filter(F.col("cls") != F.col("rep")).distinct()
-    alike = scratch.table(_alike(pairs, classes.select("cls", "sig"), similarity))
+    likely = scratch.table(_alike(pairs, classes.select("cls", "sig"), similarity))
+    alike = scratch.table(_verified(likely, docs, words, similarity, text_col))
     labels = scratch.table(components(_star(alike, "cls", "rep")).select(F.col("fp").alias("cls"), "label"))
     shared = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2)
     met = multi.select(F.lit(0).alias("kind"), "key", "cls")
     met = met.unionByName(near.join(classes.select("cls", "fp"), "fp").select(F.lit(1).alias("kind"), "key", "cls"))
     met = met.unionByName(classes.select("cls", "fp").join(shared, "fp").select(F.lit(2).alias("kind"), F.col("fp").alias("key"), "cls"))
     further = scratch.table(_undecided(met, labels, classes.select("cls", "sig"), similarity))
+    further = scratch.table(_verified(further, docs, words, similarity, text_col))
     joined = components(_star(further, "label", "rep_label")).select(F.col("fp").alias("label"), F.col("label").alias("joined"))
     labels = labels.unionByName(classes.join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label")))
     grouped = classes.select("cls", "least_id").join(labels, "cls").join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))

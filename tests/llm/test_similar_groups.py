@@ -49,3 +49,15 @@ def test_a_chain_of_versions_is_one_group(documents):
     texts += [" ".join(words[: 300 + i] + [f"x{i}_{j}" for j in range(40)]) for i in range(5)]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(enumerate(texts))).collect()}
     assert {got[i] for i in range(61)} == {0}
+
+
+def test_the_threshold_is_that_of_the_shingles(documents):
+    rng = random.Random(9)
+    texts = []
+    for n in [4, 5] * 20:  # words changed at the end: of 100 shingles, similarities 96 / 104 and so on
+        words = [f"{rng.getrandbits(40):x}" for _ in range(104)]
+        texts += [" ".join(words), " ".join(words[: 104 - n * 2 - 3] + [f"{rng.getrandbits(40):x}" for _ in range(n * 2 + 3)])]
+    true = [jaccard(*texts[i : i + 2]) for i in range(0, len(texts), 2)]
+    assert min(true) < 0.79 and max(true) > 0.8
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(enumerate(texts))).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(len(true))] == [x >= 0.8 for x in true]
