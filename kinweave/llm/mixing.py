@@ -1,14 +1,15 @@
 """Mixing sources to target weights: Pfair windows and earliest deadline first, with DataFrame functions only.
 
 Each source's rows are numbered (by the MD5 of the id: a reproducible shuffle) and cut into blocks. Block j of a source of
-weight w may be released at slot floor(j / w) and is due at slot ceil((j + 1) / w); in each slot the released block with
-the earliest deadline goes, which keeps every source within one block of its target in every prefix. The weights are
-fractions of a period of slots, so the schedule repeats: one period, bounded by its parameter, is simulated when the plan
-is made, and the slot of any block follows from (source, block number) by a lookup in that period.
+share w may be released at slot floor(j / w) and is due at slot ceil((j + 1) / w); in each slot the released block with
+the earliest deadline goes, which keeps every source within one block of its target in every prefix. Shares are exact
+fractions of the weights as they are written (0.1 is a tenth), so the schedule repeats after the total of the weights in
+whole numbers. That period is simulated when the plan is made, or only as far as the sources have blocks if that is
+shorter; the slot of any block follows from (source, block number) by a lookup.
 
 All rows are kept. When a source runs out its slots stay empty and the others go on in proportion.
 
-Defined results: a null source is a source named ''; sources without a weight get ``default``; a weight of 0 or less
+Defined results: a null source is a source named ''; sources without a weight get ``default``; more than ``MOST_SOURCES`` sources raise; a weight of 0 or less
 raises, since its rows could not be placed; repeated rows are placed as often as they occur; an empty table gives an empty
 result; ``mix`` carries every column through unchanged, whatever its name.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a numbering bucket, about; most sources whose weights are planned; most bucket offsets that are broadcast.
 BUCKET_ROWS, MOST_SOURCES, BROADCAST_BUCKETS = 20_000, 10_000, 200_000
+#: No block has a number so large: a period beyond it isn't completed.
+LONG = 2**62
 
 
 def parts(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -44,14 +48,25 @@ def parts(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of a period of sum(slots): earliest deadline first among released blocks."""
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights in the smallest whole numbers of the same proportions."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: n // common for s, n in out.items()}
+
+
+def schedule(slots: dict[str, int], most: int | None = None) -> list[str]:
+    """The source of each slot of a period of sum(slots), or of its first ``most``: earliest deadline first among released blocks."""
     period = sum(slots.values())
     waiting = [(0, s, 0) for s in slots]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out = []
-    for t in range(period):
+    for t in range(min(period, most or period)):
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
@@ -77,13 +92,17 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, default: fl
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     total = sum(r["count"] for r in found)
-    slots = parts({r["s"]: (weights or {}).get(r["s"], default) for r in found}, period) if found else {"": 1}
+    slots = whole({r["s"]: (weights or {}).get(r["s"], default) for r in found}) if found else {"": 1}
+    cycle = sum(slots.values())
+    # The last block of any source is due by then.
+    needed = max((-(-(-(-r["count"] // block_rows)) * cycle // slots[r["s"]]) for r in found), default=1)
     seen: dict[str, int] = {}
     lookup = []
-    for t, s in enumerate(schedule(slots)):
+    for t, s in enumerate(schedule(slots, needed)):
         lookup.append((s, seen.get(s, 0), t))
         seen[s] = seen.get(s, 0) + 1
-    plan = F.broadcast(_literal(docs, lookup, "kw_source string, kw_turn long, kw_at long"))  # a period's slots
+    names = "kw_source string, kw_turn long, kw_at long"
+    plan = F.broadcast(_literal(docs, lookup, names) if len(lookup) <= period else docs.sparkSession.createDataFrame(lookup, names))  # a slot each
     # Numbers in a source, in two passes: offsets of hash buckets, and ranks within a bucket.
     digits = 0
     while total / 16**digits > BUCKET_ROWS:
@@ -97,9 +116,9 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, default: fl
     ties = [F.xxhash64(F.col(f"`{text_col}`"))] if text_col else []
     within = F.row_number().over(Window.partitionBy("kw_source", "kw_bucket").orderBy("kw_hash", f"`{id_col}`", *ties)) - 1
     numbered = ranked.withColumn("kw_within", within).join(offsets, ["kw_source", "kw_bucket"]).withColumn("kw_number", F.col("kw_before") + F.col("kw_within")).withColumn("kw_block", F.expr(f"kw_number div {block_rows}L"))
-    shares = F.broadcast(_literal(docs, sorted(slots.items()), "kw_source string, kw_n long"))
+    shares = F.broadcast(_literal(docs, sorted((s, min(n, LONG)) for s, n in slots.items()), "kw_source string, kw_n long"))
     timed = numbered.join(shares, "kw_source").withColumn("kw_turn", F.col("kw_block") % F.col("kw_n")).join(plan, ["kw_source", "kw_turn"])
-    timed = timed.withColumn("kw_slot", F.expr(f"(kw_block div kw_n) * {sum(slots.values())}L + kw_at"))
+    timed = timed.withColumn("kw_slot", F.expr(f"(kw_block div kw_n) * {min(cycle, LONG)}L + kw_at"))
     return timed.select(*[F.col(f"`{c}`") for c in docs.columns], "kw_source", "kw_number", "kw_block", "kw_slot")
 
 

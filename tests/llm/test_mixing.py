@@ -40,6 +40,18 @@ def test_rows_are_all_placed_once(spark, documents):
             assert abs(have - min(first[s], t * slots[s] / 20)) < 1
 
 
+@pytest.mark.parametrize("weights", [{"src0": 4.0}, {"src0": 0.123456789012345, "src1": 3.3}])
+def test_prefixes_hold_the_weights_themselves(spark, documents, weights):
+    docs = documents([(i, f"t{i}", f"src{i % 20 if i < 36000 else 0}") for i in range(42000)])
+    got = mixing.placed(docs, weights, block_rows=1, period=1000).select("kw_source", "kw_slot").orderBy("kw_slot").toPandas()
+    total = sum(weights.get(f"src{i}", 1.0) for i in range(20))
+    for s, slots in got.groupby("kw_source").kw_slot:
+        share = weights.get(s, 1.0) / total
+        for j, t in enumerate(slots):  # j blocks before slot t, one more after it
+            assert j - t * share > -1 - 1e-9 and j + 1 - (t + 1) * share < 1 + 1e-9
+    assert got.kw_slot.is_unique
+
+
 def test_order_is_stored_and_reproducible(spark, documents, tmp_path):
     docs = documents([(i, f"t{i}", f"s{i % 4}") for i in range(300)]).withColumn("kw_slot", F.lit(1))
     a, b = (mixing.mix(d, block_rows=4, period=40) for d in (docs, docs.repartition(7)))
