@@ -316,11 +316,10 @@ UNIT, PAGE_ROWS = 576, 1024
 
 
 def feature(all_pages: list[Page]) -> str:
-    """Pages, mean grey level, share of dark samples and a 64-bit average hash over 8 x 8 fields of the first page."""
-    first = np.frombuffer(all_pages[0].data, np.uint8).reshape(all_pages[0].height, -1)
+    """Pages, mean grey level and a 64-bit average hash over 64 bands of columns, summed over all pages (of one width)."""
     total = sum(len(p.data) for p in all_pages)
-    grey = sum(int(np.frombuffer(p.data, np.uint8).sum(dtype=np.int64)) for p in all_pages)
-    columns = first.sum(axis=0, dtype=np.int64)
+    columns = sum(np.frombuffer(p.data, np.uint8).reshape(p.height, -1).sum(axis=0, dtype=np.int64) for p in all_pages)
+    grey = int(columns.sum())
     fields = columns.reshape(64, -1).sum(axis=1)
     bits = "".join("1" if x > fields.mean() else "0" for x in fields)
     return f"pages={len(all_pages)};mean={grey / total:.3f};hash={int(bits, 2):016x}"

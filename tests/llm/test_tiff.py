@@ -96,3 +96,11 @@ def test_texts_are_stored_without_loss(documents, odd_texts):
         assert b"".join(p.data for p in tiff.pages(bytes(r["tiff"]))) == payload
     assert got[11]["feature"] == got[12]["feature"] and bytes(got[11]["tiff"]) == bytes(got[12]["tiff"])
     assert tiff.stored_texts(documents([])).count() == 0
+
+
+def test_the_feature_covers_all_pages():
+    rows = np.random.default_rng(3).integers(0, 256, (3 * tiff.PAGE_ROWS, tiff.UNIT)).astype(np.uint8)
+    other = rows.copy()
+    other[tiff.PAGE_ROWS :] = other[tiff.PAGE_ROWS :, ::-1]  # the first page and the mean are the same
+    a, b = (tiff.feature(list(tiff.pages(tiff.write_grey(x.tobytes(), tiff.UNIT, tiff.PAGE_ROWS)))) for x in (rows, other))
+    assert a.split(";")[:2] == b.split(";")[:2] and a.split(";")[2] != b.split(";")[2]
