@@ -1,14 +1,18 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
 Each whole text gets a 64-bit fingerprint in one pass; from there on only distinct fingerprints travel. The index has one
-table for each half (segment) of the fingerprint. For every fingerprint the Hamming ball of radius 1 in a segment (33
-values) is enumerated, with the other segment as it is; the union over the segments is the 65 keys at distance 0 or 1.
-Two fingerprints at distance 2 or less always meet under a key (that halfway between them), and any two that meet are at
-distance 2 or less. So a table entry holds at most 65 distinct fingerprints, whatever the data: no hot buckets, no pair
-lists, no caps. Under each key the entries are linked to the smallest one after their complete distance is verified.
+table for each half (segment) of the fingerprint, keyed by the value of that half. Fingerprints at distance 2 or less
+differ by one bit or none in one of the halves, so each fingerprint enumerates the Hamming ball of radius 1 around the
+value of each of its segments, fetches the entries that the table has under these values, and verifies the complete
+distance. Of two values that differ in a bit, the one without it asks for the other: about 17 values a segment, not 33.
 
-Groups are the connected components of these links: labels flow along keys (at most 65 a fingerprint, at most 65
-fingerprints a key), then jump to their label's label, until nothing changes. Every round is written to the shared folder.
+A segment value of more than ``CROWDED`` fingerprints is left out of the tables, since all pairs under it would be
+compared; all fingerprints of such a value, and those a bit from one, take an exact way besides: they meet under the 65
+whole fingerprints at distance 0 or 1 from them. Two at distance 2 or less share one (that halfway between them), and any
+two that share one are at distance 2 or less, so at most 65 meet under a key and each is linked to the smallest of them.
+
+Groups are the connected components of these links: labels flow along keys, then jump to their label's label, until
+nothing changes. Every round is written to the shared folder.
 
 Defined results: null, empty and blank texts have the fingerprint 0 and are linked like any other; fewer words than
 ``words`` are one shingle; equal rows share a group; a null id is carried along, and counts as the smallest of its group
@@ -75,22 +79,59 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, schema)
 
 
-def ball_keys(fp: str = "fp") -> str:
-    """SQL for the keys of both segments' tables: the radius-1 ball in either half, the other half kept."""
-    half = lambda lo: f"transform(sequence({lo}, {lo + 31}), b -> {fp} ^ shiftleft(1L, b))"
-    return f"concat(array({fp}), {half(0)}, {half(32)})"
+#: Fingerprints under one segment value that are still compared pair by pair; rows of probes that one task enumerates, about.
+CROWDED, PROBES = 16, 2_000_000
 
 
-def links(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
-    """key, fp: the table entries under which at least two of the ``distinct`` fingerprints (column fp) meet."""
-    if max_distance != 2:
-        raise ValueError("the two segments' balls of radius 1 serve a distance of 2")
-    entries = distinct.select("fp", F.explode(F.expr(ball_keys())).alias("key"))
-    met = entries.groupBy("key").agg(F.min("fp").alias("least"), F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+def segment_table(distinct: DataFrame) -> DataFrame:
+    """fp, segment (0: the lower half, 1: the upper), value: the entries of both tables."""
+    return distinct.select("fp", F.posexplode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))).alias("segment", "value"))
+
+
+def _around(value: str, up: bool) -> str:
+    """SQL for a segment's value and those a bit from it; ``up``: only those with one bit more."""
+    flip = f"{value} | shiftleft(1L, b)" if up else f"{value} ^ shiftleft(1L, b)"
+    return f"array_distinct(concat(array({value}), transform(sequence(0, 31), b -> {flip})))"
+
+
+def table_links(entries: DataFrame, max_distance: int) -> DataFrame:
+    """least, other: pairs of fingerprints of ``entries`` (fp, segment, value) that a probe fetched and the distance verified."""
+    probes = entries.select(F.col("fp").alias("asks"), "segment", F.explode(F.expr(_around("value", True))).alias("value"))
+    distance = F.bit_count(F.col("asks").bitwiseXOR(F.col("fp")))
+    fetched = probes.join(entries, ["segment", "value"]).filter((F.col("asks") != F.col("fp")) & (distance <= max_distance))
+    return fetched.select(F.least("asks", "fp").alias("least"), F.greatest("asks", "fp").alias("other"))
+
+
+def ball_links(distinct: DataFrame, max_distance: int) -> DataFrame:
+    """key, fp: those that meet under a whole fingerprint at distance 0 or 1 from them and are linked there."""
+    half = lambda lo: f"transform(sequence({lo}, {lo + 31}), b -> fp ^ shiftleft(1L, b))"
+    keyed = distinct.select("fp", F.explode(F.expr(f"concat(array(fp), {half(0)}, {half(32)})")).alias("key"))
+    met = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    if max_distance < 2:  # of those around a key, only the key itself is that near to the others
+        met = met.filter(F.array_contains("fps", F.col("key"))).withColumn("least", F.col("key"))
     checked = met.select("key", "least", F.explode("fps").alias("fp"))
     return checked.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= max_distance).select("key", "fp")
 
 
+def links(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
+    """key, fp: the ``distinct`` fingerprints (column fp) in groups under keys; those under a key are connected by links."""
+    if max_distance not in (1, 2):
+        raise ValueError("two segments and balls of radius 1 serve distances of 1 and 2")
+    distinct = scratch.table(distinct.select("fp"))
+    # Each row becomes 36: enough tasks for that, whatever the size of the stored table.
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() * 36 // PROBES))
+    entries = segment_table(distinct.repartition(tasks))
+    crowded = scratch.table(entries.groupBy("segment", "value").count().filter(F.col("count") > CROWDED).select("segment", "value"))
+    pairs = table_links(entries.join(crowded, ["segment", "value"], "left_anti"), max_distance)
+    star = F.explode(F.array(F.struct(F.col("least").alias("key"), F.col("least").alias("fp")), F.struct(F.col("least").alias("key"), F.col("other").alias("fp"))))
+    edges = pairs.select(star.alias("e")).select("e.key", "e.fp")
+    if not crowded.isEmpty():
+        near = crowded.select("segment", F.explode(F.expr(_around("value", False))).alias("value")).distinct()
+        crowd = entries.join(near, ["segment", "value"], "left_semi").select("fp").distinct()
+        edges = edges.unionByName(ball_links(crowd.repartition(tasks), max_distance))
+    return edges.distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """fp, label: for each fingerprint in ``edges`` (key, fp) the smallest fingerprint it reaches."""
     edges = scratch.table(edges)

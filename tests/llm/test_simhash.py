@@ -1,7 +1,9 @@
+import random
 import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kinweave.llm import simhash
 
@@ -41,23 +43,40 @@ def test_spark_has_the_same_hash(spark):
     assert spark.sql("select xxhash64('one two three') as h").first()["h"] & (2**64 - 1) == xxhash.xxh64_intdigest(b"one two three", 42)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_against_all_pairs(spark, seed):
-    import random
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
 
+
+def test_the_distance_is_verified(spark):
+    """Tables also give fingerprints that only agree in a segment; these are no links."""
+    rng = random.Random(4)
+    low = rng.getrandbits(32)
+    fps = [signed(rng.getrandbits(32) << 32 | low ^ (1 << i % 3)) for i in range(12)] + [signed(7 << 32 | low), signed(7 << 32 | low ^ 6)]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    entries = simhash.segment_table(df)
+    assert entries.count() == 28 and {(r["segment"], r["value"]) for r in entries.filter(F.col("fp") == fps[-2]).collect()} == {(0, low), (1, 7)}
+    got = {tuple(r) for r in simhash.table_links(entries, 2).collect()}
+    assert got == {tuple(sorted((a, b))) for a in fps for b in fps if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert simhash.table_links(entries, 64).distinct().count() > 3 * len(got)
+
+
+@pytest.mark.parametrize("crowded", [1, 3, 16])
+@pytest.mark.parametrize("seed,most", [(0, 2), (1, 2), (2, 1)])
+def test_components_against_all_pairs(spark, monkeypatch, seed, most, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = random.Random(seed)
     fps = [rng.getrandbits(64) for _ in range(20)]
+    fps += [fps[0] & 0xFFFFFFFF | rng.getrandbits(32) << 32 for _ in range(30)]  # a hot segment value
     for _ in range(150):  # chains: each one or two bits from one before
         x = rng.choice(fps)
         for _ in range(rng.randint(1, 3)):
             x ^= 1 << rng.randrange(64)
         fps.append(x)
     fps = list(dict.fromkeys(fps))
-    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    labels = {r["fp"]: r["label"] for r in simhash.components(simhash.links(df)).collect()}
-    want = brute_components(fps, signed)
-    assert [labels.get(x, x) for x in signed] == want
+    ids = [signed(x) for x in fps]
+    df = spark.createDataFrame([(x,) for x in ids], "fp long")
+    labels = {r["fp"]: r["label"] for r in simhash.components(simhash.links(df, most)).collect()}
+    assert [labels.get(x, x) for x in ids] == brute_components(fps, ids, most)
 
 
 def test_a_long_chain(spark):
