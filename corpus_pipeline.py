@@ -39,7 +39,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, stored in the order that holds the sources to their weights."""
-    return mixing.mix(docs.select(*COLUMNS), weights=SOURCE_WEIGHTS, block_rows=16, period=1000)
+    return mixing.mix(docs.select(*COLUMNS), weights=SOURCE_WEIGHTS, block_rows=16)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
