@@ -31,7 +31,8 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, equal to those of the ``tokenizers`` file.
 
     A byte-level BPE whose ids are 256 bytes followed by the merges in their order is run by tiktoken's merge loop, over
-    ranks that are read out of that same file; it gives the same ids four times as fast. Other files are run as they are.
+    ranks that are read out of that same file; it gives the same ids four times as fast. It refuses texts with very long
+    runs of blanks (its pattern backtracks): these, and other files, are run by the library itself.
     """
 
     def __init__(self, path: str):
@@ -62,7 +63,14 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
-        ids = self.fast.encode(text, allowed_special="all") if self.fast else self.tok.encode(text, add_special_tokens=False).ids
+        ids = None
+        if self.fast:
+            try:
+                ids = self.fast.encode(text, allowed_special="all")
+            except ValueError:  # "Max stack size exceeded for backtracking"
+                pass
+        if ids is None:
+            ids = self.tok.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
 

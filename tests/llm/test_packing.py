@@ -63,6 +63,15 @@ def test_stored_order_is_kept(spark, documents, tmp_path):
     assert {r["n_tokens"] for r in seqs.orderBy("sequence_id").collect()[:-1]} == {32}
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "x", "\t \n"])
+def test_very_long_runs(documents, encoder, unit):
+    """tiktoken's pattern gives up on a million blanks; the library does not."""
+    text = unit * (1_000_000 // len(unit))
+    want = reference(encoder, text) + [0]
+    pieces = sorted(packing.pack(documents([(1, text), (2, "b")]), PATH).filter("doc_id = 1").collect(), key=lambda p: p["start"])
+    assert np.frombuffer(b"".join(bytes(p["ids"]) for p in pieces), "<u4").tolist() == want
+
+
 def test_empty_and_extra_columns(spark, documents):
     assert packing.pack(documents([]), PATH).count() == 0
     docs = documents([(None, "x"), (1, None), (1, None)]).selectExpr("doc_id", "text", "1 as run_file", "2 as ids", "3 as sequence_id")
