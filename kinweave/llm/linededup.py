@@ -3,7 +3,9 @@
 Lines are hashed (128 bits) where they are read. The hashes are range-partitioned with the document and the position as
 secondary sort, so the occurrences of a line stand together, in order, and one of a third of all documents still spreads
 over several partitions. Streaming over them gives each line's first occurrence and its number of documents. What goes
-back to the documents is a compressed bitmap (runs of kept lines), never text.
+back to the documents is a keep bitmap of each, compressed as runs of kept lines, never text or a list of positions.
+Skew: the occurrences are joined with the frequent keys after these are stored, so that few of them are broadcast and
+many go through an exchange whose hot parts the adaptive planner splits.
 
 Defined results: a null or empty text is one empty line; a line whose key is shorter than ``min_chars`` always stays;
 equal rows (same id, same text) are one document and get the same bitmap each; rows of one id with different texts are
@@ -41,11 +43,12 @@ def _name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 1, keep: str = "first") -> DataFrame:
-    """id, text_hash, dropped: ascending positions of a document's dropped lines, for documents that lose any.
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 1, keep: str = "first") -> DataFrame:
+    """id, text_hash, n_dropped, keep_runs (array of struct(start, length)) of the documents that lose any line; no text.
 
     A line goes if its key has ``min_chars`` code points or more and stands in ``min_docs`` documents or more: everywhere
-    (``keep="none"``) or but for its first occurrence by id, text and position (``keep="first"``).
+    (``keep="none"``) or but for its first occurrence by id, text and position (``keep="first"``). The last run is open:
+    its length is ``TO_THE_END``, whether or not lines follow.
     """
     if keep not in ("first", "none"):
         raise ValueError(f"keep: 'first' or 'none', not {keep!r}")
@@ -64,40 +67,29 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if keep == "first":
         is_first = F.col("id").eqNullSafe(F.col("first.id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))
         hit = hit.withColumn("at", F.when(is_first, F.expr("slice(at, 2, size(at))")).otherwise(F.col("at")))
-    return hit.groupBy("id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("dropped")).filter(F.size("dropped") > 0)
+    gone = hit.groupBy("id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("gone")).filter(F.size("gone") > 0)
+    return gone.select("id", "text_hash", F.size("gone").alias("n_dropped"), F.expr(_RUNS).alias("keep_runs"))
 
 
-def _runs(n: str) -> Column:
-    """Runs of kept lines between the dropped positions: array of struct(start, length); a bitmap in run-length form."""
-    return F.expr(f"""filter(transform(sequence(0, size(dropped)), i -> named_struct(
-        'start', if(i = 0, 0, dropped[i - 1] + 1),
-        'length', if(i = size(dropped), {n}, dropped[i]) - if(i = 0, 0, dropped[i - 1] + 1))), r -> r.length > 0)""")
-
-
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """id, text_hash, n_lines, n_dropped, keep_runs for each document; no text."""
-    sizes = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.size(lines(F.col(f"`{text_col}`"))).alias("n_lines"))
-    out = dropped_lines(docs, id_col, text_col, **how).withColumnsRenamed({"id": "d_id", "text_hash": "d_hash"})
-    joined = sizes.join(out, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")), "left")
-    joined = joined.withColumn("dropped", F.coalesce("dropped", F.expr("cast(array() as array<int>)")))
-    return joined.select("id", "text_hash", "n_lines", F.size("dropped").alias("n_dropped"), _runs("n_lines").alias("keep_runs"))
+#: Length of the run behind the last dropped line: more lines than a text can have, and no overflow when it is added up.
+TO_THE_END = 2**30
+#: Runs of kept lines between the dropped positions ``gone``.
+_RUNS = f"""filter(transform(sequence(0, size(gone)), i -> named_struct(
+    'start', if(i = 0, 0, gone[i - 1] + 1),
+    'length', if(i = size(gone), {TO_THE_END}, gone[i] - if(i = 0, 0, gone[i - 1] + 1)))), r -> r.length > 0)"""
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the text reduced to its kept lines, and two more columns: n_lines, n_dropped (named anew where taken)."""
-    n_lines, n_dropped, cut, d_id, d_hash = (_name(docs, x) for x in ("n_lines", "n_dropped", "kw_dropped", "kw_id", "kw_hash"))
-    gone = dropped_lines(docs, id_col, text_col, **how).select(F.col("id").alias(d_id), F.col("text_hash").alias(d_hash), F.col("dropped").alias(cut))
+    n_lines, n_dropped, runs, gone, d_id, d_hash = (_name(docs, x) for x in ("n_lines", "n_dropped", "kw_runs", "kw_gone", "kw_id", "kw_hash"))
+    bitmaps = keep_bitmaps(docs, id_col, text_col, **how).toDF(d_id, d_hash, gone, runs)
     text = F.col(f"`{text_col}`")
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(d_id)) & (F.xxhash64(text) == F.col(d_hash)), "left")
+    joined = docs.join(bitmaps, F.col(f"`{id_col}`").eqNullSafe(F.col(d_id)) & (F.xxhash64(text) == F.col(d_hash)), "left")
     split = lines(text)
-    kept = F.array_join(F.flatten(F.transform(_runs_of(cut, split), lambda r: F.slice(split, r["start"] + 1, r["length"]))), "\n")
-    out = {text_col: F.when(F.col(cut).isNull(), F.coalesce(text, F.lit(""))).otherwise(kept), n_lines: F.size(split).cast("long"), n_dropped: F.coalesce(F.size(F.col(cut)), F.lit(0)).cast("long")}
+    # Bound to a variable, so that the text is split once and not once for each run.
+    bound = F.array(F.struct(split.alias("lines"), F.col(runs).alias("runs")))
+    cut = F.transform(bound, lambda b: F.flatten(F.transform(b["runs"], lambda r: F.slice(b["lines"], r["start"] + 1, r["length"]))))
+    kept = F.array_join(F.element_at(cut, 1), "\n")
+    out = {text_col: F.when(F.col(runs).isNull(), F.coalesce(text, F.lit(""))).otherwise(kept), n_lines: F.size(split).cast("long"), n_dropped: F.coalesce(F.col(gone), F.lit(0)).cast("long")}
     names = [*docs.columns, n_lines, n_dropped]
     return joined.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in names])
-
-
-def _runs_of(cut: str, split: Column) -> Column:
-    d, n = F.col(cut), F.size(split)
-    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(d, i) + 1)
-    end = lambda i: F.when(i == F.size(d), n).otherwise(F.element_at(d, i + 1))
-    return F.filter(F.transform(F.sequence(F.lit(0), F.size(d)), lambda i: F.struct(start(i).alias("start"), (end(i) - start(i)).alias("length"))), lambda r: r["length"] > 0)

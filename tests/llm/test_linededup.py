@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 
@@ -31,14 +32,21 @@ def test_against_brute_force(documents, odd_texts, min_docs, min_chars, keep):
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got} == brute(texts, min_docs, min_chars, keep)
 
 
-def test_bitmaps_say_the_same(documents):
-    texts = ["a\nb\nc\na", "b\nx", "c", "a\nb"]
-    docs = documents(enumerate(texts))
-    kept = {r["doc_id"]: r["text"] for r in linededup.apply(docs, min_docs=2, keep="none").collect()}
-    for r in linededup.keep_bitmaps(docs, min_docs=2, keep="none").collect():
-        lines = texts[r["id"]].split("\n")
-        assert "\n".join(x for run in r["keep_runs"] for x in lines[run["start"] : run["start"] + run["length"]]) == kept[r["id"]]
-        assert r["n_lines"] == len(lines)
+def test_bitmaps_of_runs(documents):
+    texts = ["a\nb\nc\na\nown\nown 2\na", "b\nx", "c", "a\nb", "alone"]
+    end = linededup.TO_THE_END
+    got = {r["id"]: (r["n_dropped"], [tuple(x) for x in r["keep_runs"]]) for r in linededup.keep_bitmaps(documents(enumerate(texts)), min_docs=2, keep="none").collect()}
+    assert got == {0: (5, [(4, 2), (7, end)]), 1: (1, [(1, end)]), 2: (1, [(1, end)]), 3: (2, [(2, end)])}
+
+
+def test_a_text_of_very_many_runs(documents):
+    """Each run costs its own lines, not another split of the text."""
+    long = "\n".join(f"own {i}\nshared" for i in range(100_000))
+    began = time.time()
+    got = {r["doc_id"]: r for r in linededup.apply(documents([(1, long), (2, "shared"), (3, "\n" * 1_000_000), (4, "x" * 1_000_000)]), min_docs=2, keep="none").collect()}
+    assert time.time() - began < 60
+    assert got[1]["text"] == long.replace("\nshared", "") and got[1]["n_dropped"] == 100_000
+    assert got[3]["n_lines"] == 1_000_001 and got[3]["text"] == "\n" * 1_000_000 and got[4]["text"] == "x" * 1_000_000
 
 
 def test_repeated_rows_null_ids_and_clashing_names(spark, documents):
