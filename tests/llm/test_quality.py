@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -20,9 +21,12 @@ def brute_marginals(odds, moves):
     return good / weight
 
 
-def test_marginals_against_enumeration():
+@pytest.mark.parametrize("few", [0, 1, 3, 9])
+@pytest.mark.parametrize("counts", [[1, 5, 3, 1, 7], [4], [1, 1], [9, 9, 2, 9]])
+def test_marginals_against_enumeration(monkeypatch, few, counts):
+    monkeypatch.setattr(quality, "FEW", few)
     rng = np.random.default_rng(1)
-    counts = np.array([1, 5, 3, 1, 7])
+    counts = np.array(counts)
     odds, moves = rng.normal(size=counts.sum()) * 2, rng.normal(size=(2, 2))
     got = quality.marginals(odds, counts, moves, True)
     at = 0
@@ -33,11 +37,30 @@ def test_marginals_against_enumeration():
 
 
 def test_features_see_neighbours():
-    x, chars, counts = quality.line_features(["one two\nthree three three\n", "", "LOUD!! LOUD!!"])
-    assert counts.tolist() == [3, 1, 1] and x.shape == (5, 3 * quality.OWN)
-    own = x[:, : quality.OWN]
-    assert np.allclose(x[1, quality.OWN : 2 * quality.OWN], own[0]) and np.allclose(x[0, 2 * quality.OWN :], own[1])
-    assert not x[3, quality.OWN :].any() and chars.tolist() == [7, 17, 0, 0, 13]
+    own, chars, counts = quality.line_features(["one two\nthree three three\n", "", "LOUD!! LOUD!!"])
+    assert counts.tolist() == [3, 1, 1] and own.shape == (5, quality.OWN)
+    before, after = quality.beside(own, counts)
+    assert np.allclose(before[1], own[0]) and np.allclose(after[0], own[1])
+    assert not before[3].any() and not after[3].any() and chars.tolist() == [7, 17, 0, 0, 13]
+    rng = np.random.default_rng(0)
+    k = 3 * quality.OWN
+    field = quality.Field(rng.normal(size=k), rng.uniform(1, 2, k), rng.normal(size=k + 1), np.zeros((2, 2)), 1, 0)
+    x = (np.hstack([own, before, after]) - field.mean) / field.scale
+    assert np.allclose(quality.line_odds(own, counts, field), x @ field.weights[:-1] + field.weights[-1])
+
+
+def test_very_long_texts(spark, documents):
+    field = quality.train(quality.line_features(["fine words here", "LOUD!! LOUD!! LOUD!!"] * 20), [1, 0] * 20)
+    texts = ["a line of words\n" * 200_000, "x" * 3_000_000, "\n" * 300_000, "word " * 400_000]
+    tracemalloc.start()
+    for t in texts:
+        assert 0 <= quality.score_texts([t], field)[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 250_000_000
+    tracemalloc.stop()
+    got = quality.accepted(documents(enumerate(texts)), field)
+    assert got.filter(F.col("doc_id") >= 4).count() == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    assert quality.score(documents(enumerate(texts)), quality.fit(documents(enumerate(texts)), labels, train_lines=1000)).count() == 4
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +77,7 @@ def test_held_out_accuracy(spark, tables):
 
 
 def test_only_texts_make_scores(spark, documents, odd_texts):
-    field = quality.train(["fine words here", "LOUD!! LOUD!! LOUD!!"] * 20, [1, 0] * 20)
+    field = quality.train(quality.line_features(["fine words here", "LOUD!! LOUD!! LOUD!!"] * 20), [1, 0] * 20)
     a = quality.score(documents(enumerate(odd_texts)), field)
     b = quality.score(documents([(i + 1000, t, "other") for i, t in enumerate(odd_texts)]).withColumn("lang", F.lit("xx")), field)
     assert sorted(round(r["score"], 9) for r in a.collect()) == sorted(round(r["score"], 9) for r in b.collect())
@@ -71,7 +94,9 @@ def test_labels_of_one_kind_or_none(spark, documents):
 
 
 def test_accepted_keeps_columns(spark, documents):
-    field = quality.train(["fine words here and there"] * 20 + ["LOUD!! LOUD!! LOUD!!"] * 20, [1] * 20 + [0] * 20)
+    field = quality.train(quality.line_features(["fine words here and there"] * 20 + ["LOUD!! LOUD!! LOUD!!"] * 20), [1] * 20 + [0] * 20)
+    assert quality.accepted(documents([]), field).count() == 0
+    assert quality.accepted(documents([(1, None), (None, ""), (None, "LOUD!! LOUD!! LOUD!!")]), field).count() in (0, 2)  # empty texts alike
     docs = documents([(1, "fine words here and there"), (2, "LOUD!! LOUD!! LOUD!!"), (1, "fine words here and there")]).withColumn("score", F.lit("mine"))
     got = quality.accepted(docs, field).collect()
     assert [(r["doc_id"], r["score"]) for r in got] == [(1, "mine"), (1, "mine")]
