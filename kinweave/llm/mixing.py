@@ -1,16 +1,21 @@
 """Mixing sources to target weights: Pfair windows and earliest deadline first, with DataFrame functions only.
 
-Each source's rows are numbered (by the MD5 of the id: a reproducible shuffle) and cut into blocks. Block j of a source of
-share w may be released at slot floor(j / w) and is due at slot ceil((j + 1) / w); in each slot the released block with
-the earliest deadline goes, which keeps every source within one block of its target in every prefix. Shares are exact
-fractions of the weights as they are written (0.1 is a tenth), so the schedule repeats after the total of the weights in
-whole numbers. That period is simulated when the plan is made, or only as far as the sources have blocks if that is
-shorter; the slot of any block follows from (source, block number) by a lookup.
-
-All rows are kept. When a source runs out its slots stay empty and the others go on in proportion.
-
-Defined results: a null source is a source named ''; sources without a weight get ``default``; more than ``MOST_SOURCES`` sources raise; a weight of 0 or less
-raises, since its rows could not be placed; repeated rows are placed as often as they occur; an empty table gives an empty
+Each source's rows are numbered (by the MD5 of id and text: a reproducible shuffle) and cut into blocks. Block j of a
+source of share w may be released at slot floor(j / w) and is due at slot ceil((j + 1) / w); in each slot the released
+block with the earliest deadline goes, which keeps every source within one block of its target in every prefix. Shares
+are exact fractions of the weights as they are written (0.1 is a tenth), so the schedule repeats after the total of the
+weights in whole numbers. If that cycle has ``LOOKUP`` slots or fewer it is worked out once, and the slot of any block
+follows from (source, block number) by a lookup. A longer cycle is never completed: the schedule of the blocks that there
+are is worked out by the driver, in chunks that go to a table, in memory that doesn't grow with the rows (about two
+seconds for a million blocks); only the weights decide which way is taken.
+
+All rows are kept. When a source runs out the others go on in proportion, within their windows. The driver holds the names,
+weights and numbers of rows of the sources, however many there are. ``mix`` shuffles whole rows twice: to number those of a
+bucket, and into the order of the slots, which are known only then.
+
+Defined results: a null source is a source named ''; sources without a weight get ``default``; a weight of 0 or less
+raises, since its rows could not be placed; repeated rows are placed as often as they occur; rows of one id (or none) with
+different texts spread over the numbering, equal rows (id and text) stand together in it; an empty table gives an empty
 result; ``mix`` carries every column through unchanged, whatever its name.
 """
 
@@ -19,33 +24,20 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a numbering bucket, about; most sources whose weights are planned; most bucket offsets that are broadcast.
-BUCKET_ROWS, MOST_SOURCES, BROADCAST_BUCKETS = 20_000, 10_000, 200_000
-#: No block has a number so large: a period beyond it isn't completed.
-LONG = 2**62
-
+from . import scratch
 
-def parts(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, by largest remainder, one at least."""
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    period = max(period, len(weights))
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    while (left := period - sum(out.values())) > 0:
-        for s in by_rest[:left]:
-            out[s] += 1
-    while sum(out.values()) > period:
-        s = max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -period, s))
-        out[s] -= 1
-    return out
+#: Rows of a numbering bucket, about; most bucket offsets that are broadcast; most slots of a cycle that is looked up (and
+#: broadcast, 24 bytes each); blocks of a longer one that are written at a time; sources whose shares are broadcast.
+BUCKET_ROWS, BROADCAST_BUCKETS, LOOKUP, CHUNK, BROADCAST_SOURCES = 20_000, 200_000, 100_000, 500_000, 100_000
+#: No block has a number so large.
+LONG = 2**62
 
 
 def whole(weights: dict[str, float]) -> dict[str, int]:
@@ -59,22 +51,25 @@ def whole(weights: dict[str, float]) -> dict[str, int]:
     return {s: n // common for s, n in out.items()}
 
 
-def schedule(slots: dict[str, int], most: int | None = None) -> list[str]:
-    """The source of each slot of a period of sum(slots), or of its first ``most``: earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    waiting = [(0, s, 0) for s in slots]  # release, source, block
+def schedule(slots: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[int, str, int]]:
+    """Slot, source and number of each block in the order of the slots, the shares being slots / sum(slots): earliest
+    deadline first among the released blocks of each source's first ``blocks``."""
+    cycle = sum(slots.values())
+    waiting = [(0, s, 0) for s in slots if blocks[s]]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(min(period, most or period)):
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * cycle // slots[s]), s, j))
         _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
-    return out
+        yield t, s, j
+        t += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * cycle // slots[s], s, j + 1))
 
 
 def _literal(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -84,28 +79,55 @@ def _literal(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(data), "array<struct<" + schema.replace(" long", ":bigint").replace(" string", ":string") + ">>")))
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, block_rows: int = 16, period: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text") -> DataFrame:
+def _plan(docs: DataFrame, slots: dict[str, int], blocks: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """kw_source, kw_n, kw_cycle: blocks that a source has in a cycle, and the cycle's slots. kw_source, kw_turn, kw_at: the
+    slot of each of these blocks."""
+    cycle = sum(slots.values())
+    names = sorted(slots)
+    number = {s: i for i, s in enumerate(names)}
+    if cycle <= LOOKUP:
+        shares = [(slots[s], cycle, s) for s in names]
+        turns = schedule(slots, slots)
+    else:
+        shares = [(LONG, 0, s) for s in names]
+        turns = schedule(slots, blocks)
+    of = _literal(docs, shares, "kw_n long, kw_cycle long, kw_source string")
+    numbered = _literal(docs, list(enumerate(names)), "kw_i long, kw_source string")
+    few = len(names) <= BROADCAST_SOURCES
+
+    def lookup(part: list[tuple[int, str, int]]) -> DataFrame:
+        text = ";".join(f"{t},{number[s]},{j}" for t, s, j in part)
+        each = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("x")).select(F.split("x", ",").alias("x"))
+        rows = each.select(F.col("x")[0].cast("long").alias("kw_at"), F.col("x")[1].cast("long").alias("kw_i"), F.col("x")[2].cast("long").alias("kw_turn"))
+        return rows.join(F.broadcast(numbered) if few else numbered, "kw_i").select("kw_source", "kw_turn", "kw_at")
+
+    if cycle <= LOOKUP:
+        return F.broadcast(of) if few else of, F.broadcast(lookup(list(turns)))
+    path = scratch.folder(docs.sparkSession)
+    schema = "kw_source string, kw_turn long, kw_at long"
+    part = list(islice(turns, CHUNK))
+    while True:
+        if part:
+            lookup(part).write.mode("append").parquet(path)
+        if not (part := list(islice(turns, CHUNK))):
+            break
+    return F.broadcast(of) if few else of, docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text") -> DataFrame:
     """``docs`` with kw_source, kw_number (in its source), kw_block, kw_slot; the mix is the order by (kw_slot, kw_number)."""
     source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
-    ranked = docs.withColumn("kw_source", source).withColumn("kw_hash", F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    found = docs.groupBy(source.alias("s")).count().limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    total = sum(r["count"] for r in found)
-    slots = whole({r["s"]: (weights or {}).get(r["s"], default) for r in found}) if found else {"": 1}
-    cycle = sum(slots.values())
-    # The last block of any source is due by then.
-    needed = max((-(-(-(-r["count"] // block_rows)) * cycle // slots[r["s"]]) for r in found), default=1)
-    seen: dict[str, int] = {}
-    lookup = []
-    for t, s in enumerate(schedule(slots, needed)):
-        lookup.append((s, seen.get(s, 0), t))
-        seen[s] = seen.get(s, 0) + 1
-    names = "kw_source string, kw_turn long, kw_at long"
-    plan = F.broadcast(_literal(docs, lookup, names) if len(lookup) <= period else docs.sparkSession.createDataFrame(lookup, names))  # a slot each
+    ties = [F.xxhash64(F.col(f"`{text_col}`"))] if text_col else []
+    key = F.concat_ws("-", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), *[t.cast("string") for t in ties])
+    ranked = docs.withColumn("kw_source", source).withColumn("kw_hash", F.md5(key))
+    found = {r["s"]: r["count"] for r in docs.groupBy(source.alias("s")).count().collect()}
+    slots = whole({s: (weights or {}).get(s, default) for s in found})
+    if not found:
+        return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], "kw_source", *(F.lit(None).cast("long").alias(x) for x in ("kw_number", "kw_block", "kw_slot")))
+    shares, turns = _plan(docs, slots, {s: -(-n // block_rows) for s, n in found.items()})
     # Numbers in a source, in two passes: offsets of hash buckets, and ranks within a bucket.
     digits = 0
-    while total / 16**digits > BUCKET_ROWS:
+    while sum(found.values()) / 16**digits > BUCKET_ROWS:
         digits += 1
     ranked = ranked.withColumn("kw_bucket", F.substring("kw_hash", 1, digits))
     counts = ranked.groupBy("kw_source", "kw_bucket").agg(F.count(F.lit(1)).alias("kw_rows"))
@@ -113,12 +135,10 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, default: fl
     offsets = counts.select("kw_source", "kw_bucket", before.alias("kw_before"))
     if 16**digits * len(found) <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-    ties = [F.xxhash64(F.col(f"`{text_col}`"))] if text_col else []
     within = F.row_number().over(Window.partitionBy("kw_source", "kw_bucket").orderBy("kw_hash", f"`{id_col}`", *ties)) - 1
     numbered = ranked.withColumn("kw_within", within).join(offsets, ["kw_source", "kw_bucket"]).withColumn("kw_number", F.col("kw_before") + F.col("kw_within")).withColumn("kw_block", F.expr(f"kw_number div {block_rows}L"))
-    shares = F.broadcast(_literal(docs, sorted((s, min(n, LONG)) for s, n in slots.items()), "kw_source string, kw_n long"))
-    timed = numbered.join(shares, "kw_source").withColumn("kw_turn", F.col("kw_block") % F.col("kw_n")).join(plan, ["kw_source", "kw_turn"])
-    timed = timed.withColumn("kw_slot", F.expr(f"(kw_block div kw_n) * {min(cycle, LONG)}L + kw_at"))
+    timed = numbered.join(shares, "kw_source").withColumn("kw_turn", F.col("kw_block") % F.col("kw_n")).join(turns, ["kw_source", "kw_turn"])
+    timed = timed.withColumn("kw_slot", F.expr("(kw_block div kw_n) * kw_cycle + kw_at"))
     return timed.select(*[F.col(f"`{c}`") for c in docs.columns], "kw_source", "kw_number", "kw_block", "kw_slot")
 
 

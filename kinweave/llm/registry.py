@@ -50,7 +50,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.placed(docs, SOURCE_WEIGHTS, block_rows=16, period=1000)
+    mixed = mixing.placed(docs, SOURCE_WEIGHTS, block_rows=16)
     return mixed.select("doc_id", F.col("kw_source").alias("source"), F.col("kw_number").alias("number"), F.col("kw_block").alias("block"), F.col("kw_slot").alias("slot"))
 
 
