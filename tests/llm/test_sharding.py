@@ -37,6 +37,16 @@ def test_same_whatever_the_partitions(spark, documents):
     assert a == b
 
 
+def test_equal_rows_and_ids_in_bulk(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    rows = [(None, "same")] * 5000 + [(7, f"t{i}") for i in range(3000)] + [(i, "x") for i in range(100, 400)]
+    got = sharding.shard(documents(rows), 40).toPandas()
+    assert sorted(got.row_number_) == list(range(len(rows)))
+    counts = got.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1 and all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("shard"))
+    assert got.doc_id.isna().sum() == 5000 and (got.doc_id == 7).sum() == 3000
+
+
 def test_empty_and_native(spark, documents):
     assert sharding.shard(documents([])).count() == 0
     plan = registry.op8_sharding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
