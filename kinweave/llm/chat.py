@@ -50,10 +50,10 @@ def format_chats(rows: DataFrame, trained: tuple[str, ...] = ("assistant",), con
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted string: array of struct(role, text), in order, merged blocks taken apart again."""
     blocks = F.filter(F.split(formatted, OPEN, -1), lambda b: b != "")
-    def turns(block: Column) -> Column:
-        halves = F.split(F.substring(block, F.lit(1), F.char_length(block) - len(CLOSE)), SAYS, -1)
-        return F.transform(F.split(F.element_at(halves, 2), PART, -1), lambda t: F.struct(unescape(F.element_at(halves, 1)).alias("role"), unescape(t).alias("text")))
-    return F.flatten(F.transform(blocks, turns))
+    # Each step binds its result to the next lambda's variable: a block is split once, not once for each of its parts.
+    halves = F.transform(blocks, lambda b: F.split(F.substring(b, F.lit(1), F.char_length(b) - len(CLOSE)), SAYS, -1))
+    parted = F.transform(halves, lambda h: F.struct(unescape(F.element_at(h, 1)).alias("role"), F.split(F.element_at(h, 2), PART, -1).alias("parts")))
+    return F.flatten(F.transform(parted, lambda b: F.transform(b["parts"], lambda t: F.struct(b["role"].alias("role"), unescape(t).alias("text")))))
 
 
 def loss_text(segments: Column) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -40,6 +42,16 @@ def test_a_long_conversation(spark):
     assert (r["n_blocks"], r["n"]) == (20_000, 20_000)
 
 
+def test_many_turns_of_one_role(spark):
+    """Reading a block back takes time in proportion to its parts."""
+    df = spark.range(50_000).selectExpr("1L as conv_id", "id as turn", "'user' as role", "concat('turn ', id, ' <', repeat('x', 200)) as text")
+    formatted = spark.createDataFrame([(chat.format_chats(df).first()["formatted"],)], "formatted string")
+    began = time.time()
+    back = formatted.select(chat.read_back(F.col("formatted")).alias("b")).selectExpr("size(b) as n", "b[49999].text as last").first()
+    assert time.time() - began < 10
+    assert back["n"] == 50_000 and back["last"] == "turn 49999 <" + "x" * 200
+
+
 def test_query_against_sql(spark, duck, same):
     same(spark, duck, registry.op9_chat, registry.ORACLE_SQL["op9_chat"])
     plan = registry.op9_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
