@@ -4,8 +4,11 @@ The reader walks the chain of image directories (classic TIFF, either byte order
 stored as they are, by PackBits, LZW or deflate, undoes the horizontal and the floating-point predictor, and gives the
 samples of each page as bytes in row order, little-endian. The writer stores 8-bit grey pages with any of the codecs.
 
-Defined results: a null file has no pages; a broken file raises in ``pages`` and gives one row with ``error`` in
-``explode_pages`` after the pages that could be read; a chain of directories that returns to itself ends there.
+Defined results: a null file has no pages; a broken file raises in ``pages`` (``BROKEN``) and gives one row with ``error`` in
+``explode_pages`` after the pages that could be read; a page of more than ``MOST_BYTES``, or of more than its stored bytes
+can hold, is broken, and nothing is allocated for it; a chain of directories that returns to itself ends there. A null
+text is stored as an empty one (a payload of one unit); repeated rows and ids give a row, or rows, each; a null id is
+carried along; an empty table gives an empty result; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -38,9 +41,15 @@ class Page:
     data: bytes
 
 
-def unpackbits(data: bytes) -> bytes:
+#: What reading a broken file may raise.
+BROKEN = (ValueError, KeyError, TypeError, IndexError, OverflowError, MemoryError, ArithmeticError, struct.error, zlib.error)
+#: The most bytes of a decoded page.
+MOST_BYTES = 2**30
+
+
+def unpackbits(data: bytes, most: int | None = None) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -72,11 +81,11 @@ def packbits(row: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; 256 clears, 257 ends; the width grows one code early."""
+def unlzw(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, high bit first; 256 clears, 257 ends; the width grows one code early. Ends at ``most`` bytes."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, width, last = first[:], [], 9, b""
-    held = n_held = 0
+    held = n_held = size = 0
     for byte in data:
         held = held << 8 | byte
         n_held += 8
@@ -91,8 +100,11 @@ def unlzw(data: bytes) -> bytes:
         if code == 257:
             break
         if not last:
+            if code > 255:
+                raise ValueError("LZW: a code that isn't there yet")
             last = table[code]
             out.append(last)
+            size += 1
             continue
         if code < len(table):
             word = table[code]
@@ -101,6 +113,9 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW: a code that isn't there yet")
         out.append(word)
+        size += len(word)
+        if most is not None and size >= most:
+            break
         table.append(last + word[:1])
         last = word
         if len(table) >= (1 << width) - 1 and width < 12:
@@ -149,16 +164,22 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _inflate(codec: int, data: bytes) -> bytes:
+#: At most so many bytes come out of one: a deflate code gives 258 bytes for two bits, PackBits 128 for two bytes, an LZW
+#: code of 9 bits or more 4,096.
+MOST_OUT = {NONE: 1, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64, LZW: 4096}
+
+
+def _inflate(codec: int, data: bytes, size: int) -> bytes:
+    """The first ``size`` bytes, or a few more; a stream that is damaged behind them is damaged."""
     if codec == NONE:
         return data
     if codec in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    if codec == PACKBITS:
-        return unpackbits(data)
-    if codec == LZW:
-        return unlzw(data)
-    raise ValueError(f"codec {codec}")
+        stream = zlib.decompressobj()
+        out = stream.decompress(data, size + 1)
+        if not stream.eof and len(out) <= size:
+            raise ValueError("a deflate stream is cut short")
+        return out
+    return unpackbits(data, size) if codec == PACKBITS else unlzw(data, size)
 
 
 def _unpredict(raw: np.ndarray, kind: int, bits: int, samples: int, order: str) -> np.ndarray:
@@ -197,6 +218,8 @@ def pages(data: bytes) -> Iterator[Page]:
                 continue
             size = struct.calcsize(TYPES[kind]) * count
             place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+            if place + size > len(data):
+                raise ValueError(f"tag {tag} lies beyond the file")
             tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, place)
         yield _page(data, tags, order, index)
         index += 1
@@ -223,12 +246,16 @@ def _page(data: bytes, tags: dict, order: str, index: int) -> Page:
         raise ValueError("the number of strips or tiles")
     row = (width * each * bits + 7) // 8
     block_row = (w * each * bits + 7) // 8
+    if codec not in MOST_OUT:
+        raise ValueError(f"codec {codec}")
+    if planes * height * row > MOST_BYTES or planes * height * row > sum(min(s, len(data)) + 8 for s in sizes) * MOST_OUT[codec] or h * block_row > MOST_BYTES:
+        raise ValueError("a page of more bytes than are stored")
     out = np.zeros((planes, height, row), np.uint8)
     for k, (place, size) in enumerate(zip(places, sizes)):
         plane, rest = divmod(k, across * down)
         y, x = rest // across * h, rest % across * w
         rows = h if TILE_AT in tags else min(h, height - y)
-        raw = _inflate(codec, data[place : place + size])
+        raw = _inflate(codec, data[place : place + size], rows * block_row)
         if len(raw) < rows * block_row or place + size > len(data):
             raise ValueError("a strip or tile is cut short")
         block = _unpredict(np.frombuffer(raw, np.uint8, rows * block_row).reshape(rows, block_row), kind, bits, each, order)
@@ -305,7 +332,7 @@ def explode_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
                     for p in pages(data.as_py()):
                         yield out(batch["id"], i, (p.index, p.width, p.height, p.samples, p.bits, p.codec, p.data, None))
                         n += 1
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error) as e:
+                except BROKEN as e:
                     yield out(batch["id"], i, (n, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
 
     return rows.mapInArrow(run, schema)

@@ -85,6 +85,38 @@ def test_rows_per_page_and_errors(spark):
     assert [r["error"] is not None for r in got if r["id"] in (2, 4)] == [True, True] and not [r for r in got if r["id"] == 3]
 
 
+def test_damaged_files_never_end_a_task():
+    """Any byte of a file changed, or the file cut: pages or one of the errors that are caught, and no large allocation."""
+    rng = np.random.default_rng(5)
+    payload = rng.integers(0, 9, 64 * 20).astype(np.uint8).tobytes()
+    broken = 0
+    for codec in CODECS:
+        for tile in (None, (16, 16)):
+            file = tiff.write_grey(payload, 64, 10, codec, 2, 4, tile)
+            damaged = [file[:at] for at in range(0, len(file), 7)]
+            for at in [*range(16), *rng.integers(0, len(file), 400).tolist(), *range(len(file) - 150, len(file))]:
+                for value in (0, 255, int(rng.integers(256))):
+                    damaged.append(file[:at] + bytes((value,)) + file[at + 1 :])
+            for x in damaged:
+                try:
+                    assert sum(len(p.data) for p in tiff.pages(x)) < 10**8
+                except tiff.BROKEN:
+                    broken += 1
+    assert broken > 1000
+
+
+def test_a_claim_of_a_huge_page_is_refused(spark):
+    body = zlib.compress(bytes(100))
+    tags = {256: (4, [4_000_000_000]), 257: (4, [4_000_000_000]), 258: (3, [8]), 259: (3, [8]), 273: (4, [8]), 279: (4, [len(body)])}
+    bomb = zlib.compress(bytes(10**7), 9)
+    more = {256: (4, [10]), 257: (4, [10]), 258: (3, [8]), 259: (3, [8]), 273: (4, [8]), 279: (4, [len(bomb)])}
+    lzw = built("<", more | {259: (3, [5])}, bytes([0x80, 0x7F, 0xFF, 0xFF, 0xFF]))
+    df = spark.createDataFrame([(1, built("<", tags, body)), (2, built(">", more, bomb)), (3, lzw)], "id long, f binary")
+    got = {r["id"]: r for r in tiff.explode_pages(df, "id", "f").collect()}
+    assert got[1]["error"] and got[1]["data"] is None and got[3]["error"]
+    assert bytes(got[2]["data"]) == bytes(100)
+
+
 def test_texts_are_stored_without_loss(documents, odd_texts):
     got = {r["doc_id"]: r for r in tiff.stored_texts(documents(enumerate(odd_texts))).collect()}
     for i, t in enumerate(odd_texts):
