@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ def _own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests, one machine), under a
-    temporary folder of this machine."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset, one process (master ``local``) uses a temporary
+    folder of its machine; a cluster has no folder to share and raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_folder()
     return f"{base.rstrip('/')}/kinweave-{uuid.uuid4().hex}"
 
