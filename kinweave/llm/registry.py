@@ -90,6 +90,16 @@ common as (select key from keyed where length(key) >= 1 group by key having coun
 select doc_id, count(*) as n_lines, count(c.key) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where c.key is null), '')) as kept_sha256
 from keyed k left join common c on k.key = c.key group by doc_id""",
+    # Exact nearest neighbours: on a table of one cell, where all codes are scanned, the search finds all of them.
+    "op7_nearest": """
+with sized as (select vec_id, embedding::double[] as v, len(embedding) as n from embeddings where vec_id is not null
+  and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+  and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+good as (select vec_id, v from sized where n = (select n from sized group by n order by count(*) desc, n limit 1)),
+pair as (select q.vec_id as query_id, c.vec_id, min(sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i]))))) as score
+  from good q join good c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id group by q.vec_id, c.vec_id)
+select query_id, row_number() over (partition by query_id order by score, vec_id)::int as rank, vec_id, score
+from pair qualify rank <= 10""",
     "op9_chat": r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
