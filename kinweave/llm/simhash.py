@@ -188,10 +188,17 @@ def minwise(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least if len(hashes) else np.zeros(len(factors), np.uint64)
 
 
+def word_class(text: str) -> int:
+    """A hash of the text's words: equal for texts of equal word sequences."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(" ".join(_WORDS.findall(text)).encode().translate(_LOWER), SEED)
+
+
 def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cls (of equal word sequences), fp (the SimHash), bands (keys), sig (16 bits of each min-wise hash)."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+    """doc_id, text_hash, cls (of equal word sequences), fp (the SimHash), bands (keys), sig (16 bits of each min-wise hash)."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -204,12 +211,12 @@ def signatures(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
                 h = shingle_hashes(text, words)
                 least = minwise(h, factors)
                 keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-                cls.append(xxhash.xxh64_intdigest(" ".join(_WORDS.findall(text)).encode().translate(_LOWER), SEED))
+                cls.append(word_class(text))
                 fps.append(fingerprint(h))
                 bands.append(np.array(keys, np.uint64).view(np.int64).tolist())
                 sigs.append((least >> np.uint64(20)).astype("<u2").tobytes())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], signed(cls), signed(fps), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], signed(cls), signed(fps), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -228,43 +235,40 @@ def _alike(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "cls long, rep long")
 
 
-def _classes(docs: DataFrame, text_col: str) -> DataFrame:
-    """cls, text."""
+def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, words: int, text_col: str) -> DataFrame:
+    """cls, shingles (the sorted distinct hashes) of the ``needed`` classes, each from one of its texts; stored."""
+    text = F.col(f"`{text_col}`")
+    of = classes.join(needed.distinct(), "cls", "left_semi").select("text_hash")
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(of, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                part = [t.as_py() or "" for t in whole["text"].slice(lo, 256)]
+                cls = np.array([word_class(t) for t in part], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in part], pa.binary())], names=["cls", "shingles"])
+
+    return scratch.table(texts.select("text").mapInArrow(run, "cls long, shingles binary"))
 
-        for batch in batches:
-            cls = [xxhash.xxh64_intdigest(" ".join(_WORDS.findall(t.as_py() or "")).encode().translate(_LOWER), SEED) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(cls, np.uint64).view(np.int64), pa.int64()), batch["text"]], names=["cls", "text"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "cls long, text string")
+def _similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * least.denominator >= (len(a) + len(b) - common) * least.numerator
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (cls, rep and other columns) whose sets of shingles have the similarity."""
     least, columns = Fraction(str(similarity)), pairs.columns
-    needed = pairs.select("cls").unionByName(pairs.select(F.col("rep").alias("cls"))).distinct()
-    texts = scratch.table(_classes(docs, text_col).join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")))
     # A representative of very many pairs is dealt into parts.
     often = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias("parts"))
     dealt = pairs.join(often, "rep").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
-    reps = texts.join(often, texts["cls"] == often["rep"]).select("rep", F.col("text").alias("rep_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    both = dealt.join(texts, "cls").join(reps, ["rep", "part"]).select(*columns, "text", "rep_text")
+    reps = sets.join(often, sets["cls"] == often["rep"]).select("rep", F.col("shingles").alias("rep_shingles"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(sets, "cls").join(reps, ["rep", "part"]).select(*columns, "shingles", "rep_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = lambda t: np.unique(shingle_hashes(t or "", words))
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                of: dict[int, np.ndarray] = {}
-                alike = []
-                for c, r, t, u in zip(*(batch[x].to_pylist() for x in ("cls", "rep", "text", "rep_text"))):
-                    a = of[c] if c in of else of.setdefault(c, shingles(t))
-                    b = of[r] if r in of else of.setdefault(r, shingles(u))
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    alike.append(common * least.denominator >= (len(a) + len(b) - common) * least.numerator)
-                yield batch.select(columns).filter(pa.array(alike, pa.bool_()))
+        for batch in batches:
+            alike = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least) for x, y in zip(batch["shingles"], batch["rep_shingles"])]
+            yield batch.select(columns).filter(pa.array(alike, pa.bool_()))
 
     return both.mapInArrow(run, pairs.schema)
 
@@ -273,52 +277,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float,
 ENTRY_BLOCK = 512
 
 
-def _undecided(entries: DataFrame, labels: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """cls, label, rep, rep_label: the alike pairs that meet under a key of ``entries`` (kind, key, cls) and lie in different groups.
+def _undecided(entries: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float, docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """label, rep_label: groups that a pair joins which meets under a key of ``entries`` (kind, key, cls) and is similar.
 
-    Under each key all pairs of different groups are compared, but those within a group are not: the entries outside the
+    Under each key all pairs of different groups are decided, but those within a group are not: the entries outside the
     key's largest group are held against all others, block by block, so that no task has more than two blocks at a time.
+    A block gives only pairs that join two groups which its earlier pairs had left apart.
     """
-    least = round((similarity - TOLERANCE) * HASHES)
+    estimate, least = round((similarity - TOLERANCE) * HASHES), Fraction(str(similarity))
     key = ["kind", "key"]
     labelled = scratch.table(entries.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
     groups = labelled.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = groups.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter((F.col("most.n") < F.col("n")) & (F.col("n") > 2))  # of two entries one was the representative
     blocks = lambda n: F.ceil(n / ENTRY_BLOCK)
     mixed = mixed.select(*key, F.col("most.label").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("subs"), blocks(F.col("n")).alias("parts"))
-    rows = labelled.join(mixed, key).withColumn("asks", F.col("label") != F.col("main"))
+    rows = scratch.table(labelled.join(mixed, key).withColumn("asks", F.col("label") != F.col("main")))
+    sets = _sets(docs, classes, rows.select("cls"), words, text_col)
     own = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = rows.withColumn("part", own(F.col("parts"), 2)).withColumn("sub", every("subs")).withColumn("side", F.lit(False))
     ask = rows.filter("asks").withColumn("sub", own(F.col("subs"), 1)).withColumn("part", every("parts")).withColumn("side", F.lit(True))
     block = F.xxhash64(*key, "sub", "part").alias("block")
-    dealt = held.unionByName(ask).select(block, "side", "asks", "cls", "label").join(sigs, "cls").repartition("block").sortWithinPartitions("block")
+    known = classes.select("cls", "sig").join(sets, "cls")
+    dealt = held.unionByName(ask).select(block, "side", "asks", "cls", "label").join(known, "cls").repartition("block").sortWithinPartitions("block")
 
-    def compare(cols: list[np.ndarray], sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        side, asks, cls, label = cols
+    def compare(side: np.ndarray, asks: np.ndarray, cls: np.ndarray, label: np.ndarray, sig: np.ndarray, shingles: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, group = np.unique(label, return_inverse=True)
         right = np.flatnonzero(~side)
+        found: list[list[int]] = [[], []]
         for i in np.flatnonzero(side):
-            j = right[(label[right] != label[i]) & (~asks[right] | (cls[right] > cls[i]))]
-            j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= least]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(j), cls[i]), np.full(len(j), label[i]), cls[j], label[j])], names=["cls", "label", "rep", "rep_label"])
+            j = right[(group[right] != group[i]) & (~asks[right] | (cls[right] > cls[i]))]
+            for k in j[np.count_nonzero(sig[j] == sig[i], axis=1) >= estimate]:
+                if group[k] != group[i] and _similar(shingles[i], shingles[k], least):
+                    found[0].append(label[i])
+                    found[1].append(label[k])
+                    group[group == group[k]] = group[i]
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["label", "rep_label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
-            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("block", "side", "asks", "cls", "label")] + [sig]
-            kept = [np.concatenate(x) for x in zip(kept, new)] if kept else new
-            cuts = [0, *(np.flatnonzero(np.diff(kept[0]) != 0) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from compare([x[a:b] for x in kept[1:5]], kept[5][a:b])
-            kept = [x[cuts[-1] :] for x in kept]  # the block that may go on
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ENTRY_BLOCK):
+                batch = whole.slice(lo, ENTRY_BLOCK)
+                sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
+                sets = np.empty(batch.num_rows, object)
+                for i, x in enumerate(batch["shingles"]):
+                    sets[i] = np.frombuffer(x.as_py(), np.uint64)
+                new = [batch[c].to_numpy(zero_copy_only=False) for c in ("block", "side", "asks", "cls", "label")] + [sig, sets]
+                kept = [np.concatenate(x) for x in zip(kept, new)] if kept else new
+                cuts = [0, *(np.flatnonzero(np.diff(kept[0]) != 0) + 1).tolist()]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield from compare(*(x[a:b] for x in kept[1:]))
+                kept = [x[cuts[-1] :] for x in kept]  # the block that may go on
         if kept:
-            yield from compare(kept[1:5], kept[5])
+            yield from compare(*kept[1:])
 
-    return dealt.mapInArrow(run, "cls long, label long, rep long, rep_label long").distinct()
+    return dealt.mapInArrow(run, "label long, rep_label long").distinct()
 
 
 def _star(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -337,7 +352,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     equal min-wise hashes leaves out pairs far from the similarity; the others are decided by their sets of shingles.
     """
     marks = scratch.table(signatures(docs, words, id_col, text_col))
-    classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     entries = classes.select("cls", F.explode("bands").alias("key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     multi = scratch.table(entries.join(sizes, "key"))
@@ -345,20 +360,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     reps = multi.join(score, "cls").groupBy("key").agg(F.max(F.struct("score", "cls")).alias("r")).select("key", F.col("r.cls").alias("rep"))
     by_band = multi.join(reps, "key").select("cls", "rep")
     one_of = classes.groupBy("fp").agg(F.min("cls").alias("cls"))
-    near = links(one_of.select("fp"))
+    near = scratch.table(links(one_of.select("fp")))
     ends = near.groupBy("key").agg(F.min("fp").alias("rep_fp"))
     by_bits = near.join(ends, "key").filter(F.col("fp") != F.col("rep_fp")).select("fp", "rep_fp").distinct().join(one_of.withColumnRenamed("cls", "a"), "fp").join(one_of.select(F.col("fp").alias("rep_fp"), F.col("cls").alias("b")), "rep_fp").select(F.col("a").alias("cls"), F.col("b").alias("rep"))
     same_fp = classes.select("cls", "fp").join(one_of.withColumnRenamed("cls", "rep"), "fp").select("cls", "rep")
     pairs = by_band.unionByName(by_bits).unionByName(same_fp).filter(F.col("cls") != F.col("rep")).distinct()
     likely = scratch.table(_alike(pairs, classes.select("cls", "sig"), similarity))
-    alike = scratch.table(_verified(likely, docs, words, similarity, text_col))
+    needed = likely.select(F.explode(F.array("cls", "rep")).alias("cls"))
+    alike = scratch.table(_verified(likely, _sets(docs, classes, needed, words, text_col), similarity))
     labels = scratch.table(components(_star(alike, "cls", "rep")).select(F.col("fp").alias("cls"), "label"))
     shared = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2)
     met = multi.select(F.lit(0).alias("kind"), "key", "cls")
     met = met.unionByName(near.join(classes.select("cls", "fp"), "fp").select(F.lit(1).alias("kind"), "key", "cls"))
     met = met.unionByName(classes.select("cls", "fp").join(shared, "fp").select(F.lit(2).alias("kind"), F.col("fp").alias("key"), "cls"))
-    further = scratch.table(_undecided(met, labels, classes.select("cls", "sig"), similarity))
-    further = scratch.table(_verified(further, docs, words, similarity, text_col))
+    further = scratch.table(_undecided(met, labels, classes, similarity, docs, words, text_col))
     joined = components(_star(further, "label", "rep_label")).select(F.col("fp").alias("label"), F.col("label").alias("joined"))
     labels = labels.unionByName(classes.join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label")))
     grouped = classes.select("cls", "least_id").join(labels, "cls").join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
