@@ -5,92 +5,57 @@ All of them are fixed values: results depend on every entry.
 
 from __future__ import annotations
 
-# Canonical legal and trade token <- its variants.
-LEGAL_VARIANTS = {
-    "corp": "corporation corporate korporeshn",
-    "inc": "incorporated incorporation",
-    "ltd": "limited limittedd limitted limittett limitett",
-    "pvt": "private praaivett praaivet piraiveett piraivett",
-    "co": "company kampnii kompnii",
-    "ent": "enterprises enterprise enttrpraaiziz enttrpraaiz",
-    "tech": "technologies technology teknolonjiij tteknolonjiij",
-    "svc": "services service srvisez srviss",
-    "soln": "solutions solution solyuushn solyuushnz",
-    "intl": "international",
-    "ind": "industries industry industtriij",
-    "mfg": "manufacturing",
-    "mgmt": "management",
-    "assoc": "associates association",
-    "grp": "group",
-    "dept": "department",
-    "fdn": "foundation",
-    "hldgs": "holdings",
-    "hldg": "holding",
-    "dev": "development",
-    "llp": "elelpii elelp",
-    "infra": "inphraa",
-    "agro": "aagro",
-    "impex": "impeks",
-    "export": "eksporrtt eksporrt",
-    "bros": "brodrrs brdrrs freres",
-    "soc": "societe",
-    "etab": "etablissement etablissements",
-    "sri": "shri shree sree",
+# Legal and trade words of names -> their canonical token.
+LEGAL_MAP = {
+    "corporation": "corp", "corporate": "corp", "korporeshn": "corp", "incorporated": "inc", "incorporation": "inc", "limited": "ltd",
+    "limittedd": "ltd", "limitted": "ltd", "limittett": "ltd", "limitett": "ltd", "private": "pvt", "praaivett": "pvt", "praaivet": "pvt",
+    "piraiveett": "pvt", "piraivett": "pvt", "company": "co", "kampnii": "co", "kompnii": "co", "enterprises": "ent", "enterprise": "ent",
+    "enttrpraaiziz": "ent", "enttrpraaiz": "ent", "technologies": "tech", "technology": "tech", "teknolonjiij": "tech", "tteknolonjiij": "tech",
+    "services": "svc", "service": "svc", "srvisez": "svc", "srviss": "svc", "solutions": "soln", "solution": "soln", "solyuushn": "soln",
+    "solyuushnz": "soln", "international": "intl", "industries": "ind", "industry": "ind", "industtriij": "ind", "manufacturing": "mfg",
+    "management": "mgmt", "associates": "assoc", "association": "assoc", "group": "grp", "department": "dept", "foundation": "fdn",
+    "holdings": "hldgs", "holding": "hldg", "development": "dev", "elelpii": "llp", "elelp": "llp", "inphraa": "infra", "aagro": "agro",
+    "impeks": "impex", "eksporrtt": "export", "eksporrt": "export", "brodrrs": "bros", "brdrrs": "bros", "freres": "bros", "societe": "soc",
+    "etablissement": "etab", "etablissements": "etab", "shri": "sri", "shree": "sri", "sree": "sri",
 }
 
-# Canonical address token <- its variants.
-ADDRESS_VARIANTS = {
-    "st": "street str",
-    "rd": "road",
-    "ave": "avenue",
-    "blvd": "boulevard bvd",
-    "dr": "drive",
-    "ln": "lane",
-    "ct": "court",
-    "cir": "circle",
-    "hwy": "highway",
-    "expy": "expressway",
-    "pkwy": "parkway",
-    "fl": "floor flr",
-    "apt": "apartment",
-    "ste": "suite",
-    "bldg": "building",
-    "blk": "block",
-    "sec": "sector",
-    "dist": "district",
-    "opp": "opposite",
-    "nr": "near",
-    "adj": "adjacent",
-    "stn": "station",
-    "ctr": "centre center",
-    "plz": "plaza",
-    "sq": "square",
-    "r": "rue",
-    "chem": "chemin",
-    "rte": "route",
-    "pl": "place",
-    "all": "allee",
-    "imp": "impasse",
+# Address words -> their canonical token.
+ADDRESS_MAP = {
+    "street": "st", "str": "st", "road": "rd", "avenue": "ave", "boulevard": "blvd", "bvd": "blvd", "drive": "dr", "lane": "ln", "court": "ct",
+    "circle": "cir", "highway": "hwy", "expressway": "expy", "parkway": "pkwy", "floor": "fl", "flr": "fl", "apartment": "apt", "suite": "ste",
+    "building": "bldg", "block": "blk", "sector": "sec", "district": "dist", "opposite": "opp", "near": "nr", "adjacent": "adj", "station": "stn",
+    "centre": "ctr", "center": "ctr", "plaza": "plz", "square": "sq", "rue": "r", "chemin": "chem", "route": "rte", "place": "pl", "allee": "all",
+    "impasse": "imp",
 }
 
 # Words that say nothing about a name.
-NAME_STOP = "and the of in for on at to by a an co corp inc ltd pvt llc grp svc soln".split()
+NAME_STOP = [
+    "and", "the", "of", "in", "for", "on", "at", "to", "by", "a", "an", "co", "corp", "inc", "ltd", "pvt", "llc", "grp", "svc", "soln",
+]
 
 # Legal forms.
-LEGAL = "corp corporation inc incorporated ltd limited pvt private co company ent enterprises llc llp tech technologies svc services ind industries mfg pc dds md pllc".split()
+LEGAL = [
+    "corp", "corporation", "inc", "incorporated", "ltd", "limited", "pvt", "private", "co", "company", "ent", "enterprises", "llc", "llp", "tech",
+    "technologies", "svc", "services", "ind", "industries", "mfg", "pc", "dds", "md", "pllc",
+]
 
 # Words that say nothing about an address.
-ADDRESS_STOP = (
-    "road rd street st avenue ave lane ln drive dr court ct boulevard blvd floor fl unit apt suite ste building bldg "
-    "north south east west near opp opposite behind door shop plot sector sec block blk village city town state "
-    "india usa us haryana maharashtra karnataka california texas delhi bengal york tamil nadu kerala rajasthan gujarat "
-    "punjab pradesh uttar madhya andhra telangana no nr null none"
-).split()
+ADDRESS_STOP = [
+    "road", "rd", "street", "st", "avenue", "ave", "lane", "ln", "drive", "dr", "court", "ct", "boulevard", "blvd", "floor", "fl", "unit", "apt",
+    "suite", "ste", "building", "bldg", "north", "south", "east", "west", "near", "opp", "opposite", "behind", "door", "shop", "plot", "sector",
+    "sec", "block", "blk", "village", "city", "town", "state", "india", "usa", "us", "haryana", "maharashtra", "karnataka", "california", "texas",
+    "delhi", "bengal", "york", "tamil", "nadu", "kerala", "rajasthan", "gujarat", "punjab", "pradesh", "uttar", "madhya", "andhra", "telangana", "no",
+    "nr", "null", "none",
+]
 
 # Further stop words of core tokens in the first and the second key set, and in acronyms.
-CORE_STOP_V1 = "and & the of in for to".split()
-CORE_STOP_V2 = "and the of in for to".split()
-ACRONYM_STOP = [*NAME_STOP, *"corporation incorporated limited private company llp tech".split()]
+CORE_STOP_V1 = [
+    "and", "&", "the", "of", "in", "for", "to",
+]
+CORE_STOP_V2 = [
+    "and", "the", "of", "in", "for", "to",
+]
+ACRONYM_STOP = [*NAME_STOP, "corporation", "incorporated", "limited", "private", "company", "llp", "tech"]
 
 # Country label <- its spellings, in upper case.
 COUNTRY_SPELLINGS = {"US": ["UNITED STATES", "USA", "U.S.A.", "U.S.", "US"], "INDIA": ["INDIA", "IND", "IN"], "FRANCE": ["FRANCE", "FR", "FRA"]}
@@ -105,11 +70,3 @@ LEADING_NOISE = r"^[*#@\-_\s]+"
 DOMAIN_PREFIX = r"^(?:https?://)?(?:www\.)?"
 DOMAIN_SUFFIX = r"(?i)\.(?:c0m|com|org|net|in|co|io|biz|info|gov)(?:\.in)?\b"
 DOMAIN_UNSPACED = r"(?i)(?:c0m|com|org|net|biz|info)$"
-
-
-def by_variant(variants: dict[str, str]) -> dict[str, str]:
-    return {v: canonical for canonical, vs in variants.items() for v in vs.split()}
-
-
-LEGAL_MAP = by_variant(LEGAL_VARIANTS)
-ADDRESS_MAP = by_variant(ADDRESS_VARIANTS)
