@@ -1,4 +1,5 @@
-"""Similarities of names and addresses: what the JVM has as expressions, the rest as one Arrow-batched kernel."""
+"""Similarities of names and addresses: as expressions what the JVM can say, sounds included; the rest as one
+Arrow-batched kernel over the distinct pairs of a batch, bit-parallel."""
 
 from __future__ import annotations
 
@@ -34,25 +35,28 @@ def agreement(a: Column, b: Column) -> Column:
 
 
 def jaro(a: str, b: str) -> float:
+    """Bit-parallel: the places of ``b`` are the bits of a number."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    free, window, last = (1 << len(b)) - 1, (1 << (reach + 1)) - 1, len(a)
     common = []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                common.append(c)
-                break
+        near = places.get(c, 0) & free & window
+        if near:
+            free ^= near & -near
+            common.append(c)
+        window = window << 1 | (i < reach)
     m = len(common)
     if not m:
         return 0.0
-    other = [b[j] for j in range(len(b)) if taken[j]]
-    moved = sum(x != y for x, y in zip(common, other)) // 2
-    return (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    moved = sum(x != y for x, y in zip(common, (c for c, unused in zip(b, format(free, "b").zfill(len(b))[::-1]) if unused == "0"))) // 2
+    return (m / last + m / len(b) + (m - moved) / m) / 3
 
 
 def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
@@ -180,34 +184,74 @@ def metaphone(word: str) -> str:
     return "".join(codes)
 
 
-def _cached(f):
-    def run(x: pd.Series) -> pd.Series:
-        known: dict = {}
-        return x.map(lambda v: f("") if v is None else known[v] if v in known else known.setdefault(v, f(v)))
+def _letters(word: Column) -> Column:
+    return F.regexp_replace(F.lower(word), "[^a-z]", "")
 
-    return run
 
+def _one(word: Column, of) -> Column:
+    """``of`` applied to a lambda variable that is bound to the word's letters."""
+    return F.element_at(F.transform(F.array(_letters(F.coalesce(word, F.lit("")))), of), 1)
 
-@F.pandas_udf(T.StringType())
-def soundex_code(x: pd.Series) -> pd.Series:
-    return _cached(soundex)(x)
 
+def _soundex(w: Column) -> Column:
+    classes = F.translate(w, "".join(SOUND_CLASS), "".join(SOUND_CLASS.values()))
+    # Vowels, h, w and y don't part equal classes: without them, a digit that repeats the one before goes.
+    first = F.translate(F.substring(classes, 1, 1), "aeiouhwy", "")
+    digits = F.regexp_replace(F.concat(first, F.translate(F.substring(classes, 2, 1_000_000), "aeiouhwy", "")), r"(\d)\1+", "$1")
+    own = F.substring(digits, F.char_length(first) + 1, F.lit(3))
+    return F.when(w == "", "").otherwise(F.rpad(F.concat(F.upper(F.substring(w, 1, 1)), own), 4, "0"))
 
-@F.pandas_udf(T.StringType())
-def metaphone_code(x: pd.Series) -> pd.Series:
-    return _cached(metaphone)(x)
 
+def _metaphone(word: Column) -> Column:
+    once = F.regexp_replace(word, r"(.)\1+", "$1")
+    return F.element_at(F.transform(F.array(F.regexp_replace(once, "^(?:a(?=e)|g(?=n)|k(?=n)|p(?=n)|w(?=r))", "")), _metaphone_of), 1)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def soundex_codes(words: pd.Series) -> pd.Series:
-    known: dict = {}
-    return words.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, soundex(w)) for w in ws])
 
+def _metaphone_of(w: Column) -> Column:
+    at = lambda i: F.substring(w, i, F.lit(1))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def metaphone_codes(words: pd.Series) -> pd.Series:
-    known: dict = {}
-    return words.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, metaphone(w)) for w in ws])
+    def code(i: Column) -> Column:
+        c, after, two = at(i), at(i + 1), F.substring(w, i + 1, F.lit(2))
+        before = F.when(i > 1, at(i - 1)).otherwise("")
+        vowel = lambda x: (x != "") & F.contains(F.lit("aeiou"), x)
+        soft = (after != "") & F.contains(F.lit("iey"), after)
+        taken = ((c == "h") & (before != "") & F.contains(F.lit("cgpst"), before)) | ((c == "n") & (before == "g"))
+        out = F.when(taken, "").when(vowel(c), F.when(i == 1, F.upper(c)).otherwise(""))
+        for plain, x in _PLAIN.items():
+            out = out.when(c == plain, x)
+        out = out.when(c == "c", F.when(after == "h", "X").when(soft, "S").otherwise("K"))
+        out = out.when(c == "d", F.when(after == "g", "").otherwise("T"))
+        silent = (F.char_length(two) == 2) & ~vowel(F.substring(two, 2, 1))
+        out = out.when(c == "g", F.when(after == "h", F.when(silent, "").otherwise("K")).when(after == "n", "").otherwise("K"))
+        out = out.when(c == "h", F.when(vowel(after) & ~vowel(before), "H").otherwise(""))
+        out = out.when(c == "k", F.when(before == "c", "").otherwise("K"))
+        out = out.when(c == "p", F.when(after == "h", "F").otherwise("P"))
+        out = out.when(c == "s", F.when((after == "h") | two.isin("io", "ia"), "X").otherwise("S"))
+        out = out.when(c == "t", F.when(after == "h", "0").when(two.isin("io", "ia"), "X").otherwise("T"))
+        out = out.when(c.isin("w", "y"), F.when(vowel(after), F.upper(c)).otherwise(""))
+        return out.when(c == "x", "KS").otherwise("")
+
+    codes = F.filter(F.transform(F.sequence(F.lit(1), F.char_length(w)), code), lambda x: x != "")
+    return F.when(w == "", "").otherwise(F.array_join(F.slice(codes, 1, 6), ""))
+
+
+def soundex_code(word: Column | str) -> Column:
+    """``soundex`` as an expression."""
+    return _one(F.col(word) if isinstance(word, str) else word, _soundex)
+
+
+def metaphone_code(word: Column | str) -> Column:
+    """``metaphone`` as an expression. An h behind c, g, p, s or t and an n behind g belong to the code of the letter before,
+    so each letter's code follows from its neighbours."""
+    return _one(F.col(word) if isinstance(word, str) else word, _metaphone)
+
+
+def soundex_codes(words: Column | str) -> Column:
+    return F.transform(words, lambda w: _one(w, _soundex))
+
+
+def metaphone_codes(words: Column | str) -> Column:
+    return F.transform(words, lambda w: _one(w, _metaphone))
 
 
 def phonetic_ratio(a: Column, b: Column) -> Column:
@@ -263,5 +307,18 @@ def pair_kernels(name1: pd.Series, name2: pd.Series, sorted1: pd.Series, sorted2
 
 def register(spark) -> None:
     """The kernels by name, for SQL."""
-    for name, f in (("kw_soundex", soundex_code), ("kw_metaphone", metaphone_code), ("kw_jaro_winkler", jaro_winkler_sim), ("kw_token_sort", token_sort_sim), ("kw_token_set", token_set_sim)):
+    from . import text as X
+
+    for name, f in (("kw_jaro_winkler", jaro_winkler_sim), ("kw_token_sort", token_sort_sim), ("kw_token_set", token_set_sim)):
         spark.udf.register(name, f)
+    for name, f in (("kw_soundex", soundex), ("kw_metaphone", metaphone), ("kw_romanise", X.romanise)):
+        spark.udf.register(name, _each(f))
+
+
+def _each(f):
+    @F.pandas_udf(T.StringType())
+    def run(x: pd.Series) -> pd.Series:
+        known: dict = {}
+        return x.map(lambda v: known[v] if v in known else known.setdefault(v, f(v or "")))
+
+    return run

@@ -1,6 +1,6 @@
 """Normalisation of names, addresses and countries as column expressions.
 
-Everything runs in the JVM but for ``transliterate``, which is only needed for scripts beyond Latin.
+Everything runs in the JVM.
 """
 
 from __future__ import annotations
@@ -8,12 +8,11 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import lexicon as L
+from .scripts import romanised, sound
 
 #: Latin letters that become two ASCII letters; fixed values.
 TWO_LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
@@ -40,55 +39,21 @@ def fold_latin(x: Column) -> Column:
 
 
 def romanise(text: str) -> str:
-    """ASCII for any script whose letters Unicode names by their sound, one code point at a time.
-
-    Consonants lose the inherent vowel, so a virama needs no context; vowels and vowel signs spell themselves; nasal marks
-    are N, a visarga is H; digits are digits. Other characters that have no ASCII decomposition are dropped.
-    """
-    out = []
-    for c in text:
-        if c.isascii():
-            out.append(c)
-            continue
-        if c in TWO_LETTERS:
-            out.append(TWO_LETTERS[c])
-            continue
-        if c in ONE_LETTER:
-            out.append(ONE_LETTER[c])
-            continue
-        base = unicodedata.normalize("NFKD", c)
-        if base[0].isascii():
-            out.append("".join(x for x in base if x.isascii()))
-            continue
-        name = unicodedata.name(c, "")
-        if c.isdecimal():
-            out.append(str(unicodedata.decimal(c)))
-        elif " VOWEL SIGN " in name:
-            out.append(name.rsplit(" VOWEL SIGN ")[1].split()[-1].lower())
-        elif " LETTER " in name:
-            sound = name.split(" LETTER ")[1].split()[-1].lower()
-            vowel = all(x in "aeiou" for x in sound)
-            out.append(sound if vowel else sound.removesuffix("a"))
-        elif "ANUSVARA" in name or "CANDRABINDU" in name or "TIPPI" in name or "BINDI" in name:
-            out.append("N")
-        elif "VISARGA" in name:
-            out.append("H")
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def _romanise(x: pd.Series) -> pd.Series:
-    known: dict = {}
-    return x.map(lambda v: None if v is None else known[v] if v in known else known.setdefault(v, romanise(v)))
+    """``transliterate`` for a single text."""
+    return "".join(TWO_LETTERS.get(c) or ONE_LETTER.get(c) or sound(c) for c in text)
+
+
+#: Whatever ``fold_latin`` leaves: letters and marks beyond Latin, and compatibility forms.
+OTHER_SCRIPT = r"[^\x{0}-\x{24F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}]"
 
 
 def transliterate(x: Column) -> Column:
-    """As ``fold_latin``, and other scripts romanised; only values that hold such scripts go to Python."""
-    other = F.when(x.rlike(r"[^\x{0}-\x{24F}\x{1E00}-\x{1EFF}]"), x)
-    return F.coalesce(_romanise(other), fold_latin(x))
+    """As ``fold_latin``, and other scripts by the sounds of their letters; both in the JVM."""
+    return F.when(x.rlike(OTHER_SCRIPT), fold_latin(romanised(x))).otherwise(fold_latin(x))
 
 
-def basic_clean(x: Column, scripts: str = "latin") -> Column:
+def basic_clean(x: Column, scripts: str = "all") -> Column:
+    """Lower-cased ASCII with "and" for "&"; ``scripts="latin"`` leaves other scripts as they are."""
     x = F.coalesce(x, F.lit(""))
     return F.replace(F.lower(transliterate(x) if scripts == "all" else fold_latin(x)), F.lit("&"), F.lit(" and "))
 
@@ -103,7 +68,8 @@ def tokens(x: Column) -> Column:
 
 
 def no_punctuation(x: Column) -> Column:
-    return F.regexp_replace(x, r"[^\w\s]", " ")
+    """Blanks for what is neither a letter (of any script) nor a digit."""
+    return F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}_\s]", " ")
 
 
 def mapped(words: Column, table: dict[str, str]) -> Column:

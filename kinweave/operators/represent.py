@@ -9,8 +9,8 @@ from ..functions import lexicon as L
 from ..functions import text as X
 
 
-def represent(records: DataFrame, scripts: str = "latin") -> DataFrame:
-    """entity_id, country and the normalised forms of name and address. ``scripts``: "latin" (JVM only) or "all"."""
+def represent(records: DataFrame, scripts: str = "all") -> DataFrame:
+    """entity_id, country and the normalised forms of name and address. ``scripts``: "all", or "latin" to leave other scripts as they are."""
     c = F.col
     r = records.select("entity_id", X.country(c("country")).alias("country"), X.basic_clean(c("business_name"), scripts).alias("n"), X.basic_clean(c("business_address"), scripts).alias("a"))
     r = r.select("entity_id", "country", X.name_tokens(c("n")).alias("name_tokens"), X.address_tokens(c("a")).alias("addr_tokens"), X.postal_code(c("a")).alias("postal"), X.street_number(c("a")).alias("street_no"), X.landmark(c("a")).alias("landmark"))

@@ -1,9 +1,12 @@
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinweave.functions import similarity as S
+from kinweave.functions.scripts import BLOCKS, HANGUL
 from kinweave.functions import text as X
 from kinweave.operators.represent import represent
 from kinweave.sources.records import RECORD
@@ -13,7 +16,7 @@ def records(spark, *rows):
     return spark.createDataFrame([(f"S{1 + bool(i)}-{i:03d}", *r, *[None] * (3 - len(r))) for i, r in enumerate(rows)], RECORD)
 
 
-def rep(spark, name=None, address=None, country=None, scripts="latin"):
+def rep(spark, name=None, address=None, country=None, scripts="all"):
     return represent(records(spark, (name, address, country)), scripts).first()
 
 
@@ -60,6 +63,53 @@ def test_scripts(spark):
     assert rep(spark, "ŠKODA Łódź ﬁ", scripts="all")["name_clean"] == "skoda lodz fi"
 
 
+@pytest.mark.parametrize("text,latin", [
+    ("Москва Щукин Ёлка объём", "Moskva Shchukin Iolka obiom"), ("Ελλάδα Αθήνα ψωμί", "Ellada Athena psomi"), ("شركة النور", "shrkh alnwr"), ("חברת שלום", "khbrt shlvm"),
+    ("カタカナ トヨタ ひらがな シチツ", "katakana toyota hiragana shichitsu"), ("서울 한국 빛", "seoul hangug bic"), ("กรุงเทพ", "krungethph"), ("ＡＢＣ １２", "ABC 12"), ("e\u0301te\u0301", "ete"), ("中文 ok", "中文 ok"),
+])
+def test_sounds_of_scripts(spark, text, latin):
+    one = spark.createDataFrame([(text,)], "x string").select(X.transliterate(F.col("x"))).first()[0]
+    assert one.lower() == latin.lower() == X.romanise(text).lower()
+    assert rep(spark, text, scripts="all")["name_clean"] == " ".join(latin.lower().split())
+
+
+def test_every_letter_of_the_blocks(spark):
+    chars = [chr(cp) for lo, hi in (*BLOCKS, HANGUL) for cp in range(lo, hi + 1, 1 if hi < 0xAC00 else 37) if unicodedata.category(chr(cp)) != "Cn"]
+    df = spark.createDataFrame([(c,) for c in chars], "x string")
+    got = df.select("x", X.romanised(F.col("x")).alias("y")).collect()
+    assert {r["x"]: r["y"] for r in got} == {c: X.romanise(c) for c in chars}
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text("abcdefghijklmnopqrstuvwxyz -3É", max_size=14) | st.from_regex("[ckgstpdaeiouhnwrxyz]{1,10}", fullmatch=True), min_size=60, max_size=60))
+def test_sounds_against_python(spark, words):
+    df = spark.createDataFrame([(w,) for w in [*words, None, "", "Tymczak", "knight", "gnu", "scho", "sion", "tia"]], "w string")
+    for r in df.select("w", S.soundex_code("w").alias("s"), S.metaphone_code("w").alias("m"), S.metaphone_codes(F.array("w", F.lit("phone"))).alias("ms"), S.soundex_codes(F.array("w")).alias("ss")).collect():
+        assert (r["s"], r["m"]) == (S.soundex(r["w"] or ""), S.metaphone(r["w"] or ""))
+        assert r["ms"] == [r["m"], "FN"] and r["ss"] == [r["s"]]
+
+
+def plain_jaro(a, b):
+    """By two loops."""
+    reach, taken, common = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == c), None)
+        if j is not None:
+            taken.add(j)
+            common.append(c)
+    if not common:
+        return 0.0
+    m = len(common)
+    moved = sum(x != b[j] for x, j in zip(common, sorted(taken))) // 2
+    return (m / len(a) + m / len(b) + (m - moved) / m) / 3
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("abcd", min_size=1, max_size=90), st.text("abcd", min_size=1, max_size=90))
+def test_jaro_against_loops(a, b):
+    assert S.jaro(a, b) == pytest.approx(1.0 if a == b else plain_jaro(a, b), abs=1e-12)
+
+
 def test_domains_ids_and_plots(spark):
     df = spark.createDataFrame([("**http://www.Shop-One.co.in/x",), ("acme com",), (None,)], "x string")
     assert [r[0] for r in df.select(X.strip_domain(F.col("x"))).collect()] == ["shop-one/x", "acme ", ""]
