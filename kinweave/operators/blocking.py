@@ -12,32 +12,45 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from . import mining
 
 # Weights of the first key set.
 STATIC_WEIGHT = {"nm": 3, "cp": 3, "cr": 3, "sc": 3, "tok": 1}
 # Base weights and caps of the second key set, by class.
 EXACT, COMPOSITE, TOKEN, ADDRESS, PHONETIC = 4.0, 3.0, 2.0, 2.0, 1.5
-# Boosts for equal postal codes, street numbers and shared address tokens; weights of the final blend.
+# Boosts for equal postal codes, street numbers and shared address tokens; posting caps and pairs that go to the
+# re-ranking; weights of the final blend.
 BOOST_POSTAL, BOOST_STREET, BOOST_TOKEN, MOST_TOKENS = 2.0, 1.5, 0.5, 2
+CAPS, OVERGENERATE = {"exact": 20_000, "key": 5_000}, 800
 BLEND_COSINE, BLEND_NAME, BLEND_ADDRESS, BLEND_KEYS, COSINE_GAIN = 0.40, 0.0, 0.20, 0.40, 1.4
 
 
-def key_parts(records: DataFrame, scripts: str = "latin") -> DataFrame:
-    """What keys are made of: entity_id, country, toks, clean, comp, core (and core2), postal, street_no, plot, rare tokens."""
+def key_parts(records: DataFrame, scripts: str = "all", rules: DataFrame | None = None) -> DataFrame:
+    """What keys are made of: entity_id, country, toks, clean, comp, core (and core2), postal, street_no, plot, rare tokens.
+
+    ``rules`` (country, variant, canonical): mined spellings, put in place of the variants among the name's tokens and the
+    address' rare tokens; the whole names (clean, comp) stay as they are. Parts are returned unchanged.
+    """
+    if "toks" in records.columns:
+        return records
     c = F.col
     r = records.select(
         "entity_id", X.country(c("country")).alias("country"), "business_address",
         X.name_tokens(X.basic_clean(X.strip_domain(c("business_name")), scripts)).alias("toks"), X.basic_clean(c("business_address"), scripts).alias("a"),
     )
-    r = r.withColumns({"addr_tokens": X.address_tokens(c("a")), "postal": X.postal_code(c("a")), "street_no": X.street_number(c("a")), "plot": X.plot_number(F.coalesce("business_address", F.lit("")))})
+    r = r.withColumns({
+        "clean": F.array_join("toks", " "), "comp": F.array_join("toks", ""), "addr_tokens": X.address_tokens(c("a")), "postal": X.postal_code(c("a")), "street_no": X.street_number(c("a")),
+        "plot": X.plot_number(F.coalesce("business_address", F.lit(""))), "print_addr": X.rare_address_tokens(c("business_address")),
+    })
+    if rules is not None:
+        r = mining.apply_map(r, rules, "toks", "print_addr")
     return r.select(
-        "entity_id", "country", "toks", F.array_join("toks", " ").alias("clean"), F.array_join("toks", "").alias("comp"), "postal", "street_no", "plot", "addr_tokens",
+        "entity_id", "country", "toks", "clean", "comp", "postal", "street_no", "plot", "addr_tokens",
         X.without(c("toks"), L.LEGAL + L.CORE_STOP_V1, 2).alias("core"),
         X.without(c("toks"), L.LEGAL + L.NAME_STOP + L.CORE_STOP_V2, 2).alias("core2"),
         X.without(c("toks"), L.LEGAL + L.NAME_STOP, 4).alias("rare_name"),
         X.without(c("toks"), L.LEGAL + L.NAME_STOP, 3).alias("rare_name2"),
-        F.filter(X.without(c("addr_tokens"), L.ADDRESS_STOP, 4), lambda t: ~t.rlike(r"^\d+$")).alias("rare_addr"),
-        X.rare_address_tokens(c("business_address")).alias("print_addr"),
+        F.filter(X.without(c("addr_tokens"), L.ADDRESS_STOP, 4), lambda t: ~t.rlike(r"^\d+$")).alias("rare_addr"), "print_addr",
     )
 
 
@@ -124,14 +137,10 @@ def postings(target_keys: DataFrame, caps: dict[str, int], policy: str = "drop")
         return rows.join(good, "key").select("key", "cand_id", "key_ord", "n_key")
     if policy != "truncate":
         raise ValueError(f"policy: 'drop' or 'truncate', not {policy!r}")
-    # WindowGroupLimit keeps the first rows of each key before the shuffle where the cap is literal.
-    ordered = Window.partitionBy("key").orderBy("cand_id", "key_ord")
-    kept = [rows.filter(F.col("cap_class") == k).withColumn("place", F.row_number().over(ordered)).filter(F.col("place") <= v) for k, v in caps.items()]
-    kept_rows = kept[0]
-    for x in kept[1:]:
-        kept_rows = kept_rows.unionByName(x)
-    n = kept_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
-    return kept_rows.join(n, "key").select("key", "cand_id", "key_ord", "n_key")
+    # The literal limit lets WindowGroupLimit keep the first rows of each key before the shuffle; lists are counted where they are cut.
+    place = F.row_number().over(Window.partitionBy("key").orderBy("cand_id", "key_ord"))
+    kept = rows.withColumn("place", place).filter((F.col("place") <= max(caps.values())) & (F.col("place") <= cap))
+    return kept.withColumn("n_key", F.count(F.lit(1)).over(Window.partitionBy("key"))).select("key", "cand_id", "key_ord", "n_key")
 
 
 def retrieve(query_keys: DataFrame, posting: DataFrame, k: int, weight: Column | None = None) -> DataFrame:
@@ -147,7 +156,7 @@ def top(pairs: DataFrame, k: int, *order) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") < k)
 
 
-def block_v1(queries: DataFrame, targets: DataFrame, cap: int, k: int, policy: str = "drop", scripts: str = "latin") -> DataFrame:
+def block_v1(queries: DataFrame, targets: DataFrame, cap: int, k: int, policy: str = "drop", scripts: str = "all") -> DataFrame:
     """Static weights. Defaults of use: drop 500/40, truncate 300/35."""
     posting = postings(keys_v1(key_parts(targets, scripts)), {"key": cap}, policy)
     return retrieve(keys_v1(key_parts(queries, scripts)), posting, k)
@@ -169,27 +178,31 @@ def boosted(scored: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFr
     return scored.join(q, "s1_id").join(t, "cand_id").withColumn("boost", plus).withColumn("score", F.col("score") + F.col("boost")).drop("q_postal", "q_street", "q_print", "t_postal", "t_street", "t_print")
 
 
-def block_v2(queries: DataFrame, targets: DataFrame, overgenerate: int, caps: dict[str, int] | None = None, phonetic: bool = True, scripts: str = "latin") -> DataFrame:
-    """IDF-weighted retrieval with address boosts: the top ``overgenerate`` pairs of each query, with best_key."""
-    q, t = key_parts(queries, scripts), key_parts(targets, scripts)
-    posting = postings(keys_v2(t, phonetic), caps or {"exact": 20_000, "key": 5_000}, "truncate")
-    sizes = t.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    weighted = idf_weights(keys_v2(q, phonetic), posting, sizes)
-    hits = weighted.select(F.col("entity_id").alias("s1_id"), "key", "weight", F.col("key_ord").alias("q_ord")).join(posting, "key")
-    scored = hits.groupBy("s1_id", "cand_id").agg(F.sum("weight").alias("score"), F.min("q_ord").alias("first_ord"))
-    best = weighted.groupBy(F.col("entity_id").alias("s1_id")).agg(F.max("weight").alias("best_key"))  # over all keys with a list
-    return top(boosted(scored, q, t), overgenerate, F.desc(F.round("score", 9)), "first_ord", "cand_id").join(best, "s1_id")
-
+def block_v2(queries: DataFrame, targets: DataFrame, overgenerate: int = OVERGENERATE, caps: dict[str, int] | None = None, phonetic: bool = True, scripts: str = "all", rules: DataFrame | None = None) -> DataFrame:
+    """IDF-weighted retrieval with address boosts: the top ``overgenerate`` pairs of each query, with best_key.
 
-def term_weights(parts: DataFrame, frequency: DataFrame) -> DataFrame:
-    """entity_id, term, w: unit vectors over name tokens and address tokens, ln(1 + total / frequency) per occurrence."""
-    terms = parts.select("entity_id", "country", F.explode(F.concat(F.transform("toks", lambda t: F.concat(F.lit("n:"), t)), F.transform("addr_tokens", lambda t: F.concat(F.lit("a:"), t)))).alias("term"))
-    counted = terms.groupBy("entity_id", "country", "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = frequency.groupBy("country", F.substring("term", 1, 2).alias("field")).agg(F.sum("cf").alias("total"))
+    ``queries`` and ``targets`` are records, or their ``key_parts`` where these are needed again.
+    """
+    q, t = key_parts(queries, scripts, rules), key_parts(targets, scripts, rules)
+    posting = postings(keys_v2(t, phonetic), caps or CAPS, "truncate")
+    sizes = F.broadcast(t.groupBy("country").agg(F.count(F.lit(1)).alias("n")))  # a row for each country
+    asked = keys_v2(q, phonetic).join(sizes, "country").select(F.col("entity_id").alias("s1_id"), "key", "weight", "n", F.col("key_ord").alias("q_ord"))
+    hits = asked.join(posting, "key").withColumn("w", F.col("weight") * F.log1p(F.col("n") / F.col("n_key")))
+    scored = hits.groupBy("s1_id", "cand_id").agg(F.sum("w").alias("score"), F.min("q_ord").alias("first_ord"), F.max("w").alias("best"))
+    best = scored.groupBy("s1_id").agg(F.max("best").alias("best_key"))  # over all keys with a list; the exchange is that of ``scored``
+    return top(boosted(scored.drop("best"), q, t), overgenerate, F.desc(F.round("score", 9)), "first_ord", "cand_id").join(best, "s1_id")
+
+
+def term_vectors(parts: DataFrame, frequency: DataFrame) -> DataFrame:
+    """entity_id, terms (array of term, w), norm: name and address tokens, ln(1 + total / frequency) per occurrence."""
+    words = F.concat(F.transform("toks", lambda t: F.concat(F.lit("n:"), t)), F.transform("addr_tokens", lambda t: F.concat(F.lit("a:"), t)))
+    counted = parts.select("entity_id", "country", words.alias("words")).select("entity_id", "country", F.inline(F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda x: x == t)).alias("tf")))))
+    field = F.substring("term", 1, 2).alias("field")
+    totals = F.broadcast(frequency.groupBy("country", field).agg(F.sum("cf").alias("total")))  # two rows for each country
     w = F.col("tf") * F.log1p(F.coalesce("total", F.lit(1)) / F.coalesce("cf", F.lit(1)))
-    raw = counted.join(frequency, ["country", "term"], "left").withColumn("field", F.substring("term", 1, 2)).join(totals, ["country", "field"], "left").withColumn("w", w)
-    norms = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "entity_id").select("entity_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    raw = counted.join(frequency, ["country", "term"], "left").withColumn("field", field).join(totals, ["country", "field"], "left")
+    lists = raw.groupBy("entity_id").agg(F.collect_list(F.struct("term", w.alias("w"))).alias("terms"))
+    return lists.withColumn("norm", F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
 
 
 def collection_frequency(parts: DataFrame) -> DataFrame:
@@ -198,26 +211,39 @@ def collection_frequency(parts: DataFrame) -> DataFrame:
     return terms.groupBy("country", "term").agg(F.count(F.lit(1)).alias("cf"))
 
 
+def _cosine(q: str, t: str) -> Column:
+    """Of the columns {q}_terms, {q}_norm and {t}_terms, {t}_norm; null if a side has no terms."""
+    there = F.map_from_arrays(F.transform(f"{t}_terms", lambda x: x["term"]), F.transform(f"{t}_terms", lambda x: x["w"]))
+    dot = F.element_at(F.transform(F.array(there), lambda m: F.aggregate(f"{q}_terms", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(m, x["term"]), F.lit(0.0)))), 1)
+    return F.try_divide(dot, F.col(f"{q}_norm") * F.col(f"{t}_norm"))
+
+
+def _side(x: DataFrame, who: str, side: str) -> DataFrame:
+    return x.select(F.col("entity_id").alias(who), *[F.col(c).alias(f"{side}_{c}") for c in x.columns if c != "entity_id"])
+
+
 def cosines(pairs: DataFrame, q_terms: DataFrame, t_terms: DataFrame) -> DataFrame:
-    """s1_id, cand_id, cosine: only pairs that share a term."""
-    q = q_terms.select(F.col("entity_id").alias("s1_id"), "term", F.col("w").alias("qw"))
-    t = t_terms.select(F.col("entity_id").alias("cand_id"), "term", F.col("w").alias("tw"))
-    return pairs.select("s1_id", "cand_id").join(q, "s1_id").join(t, ["cand_id", "term"]).groupBy("s1_id", "cand_id").agg(F.sum(F.col("qw") * F.col("tw")).alias("cosine"))
+    """s1_id, cand_id, cosine: only pairs that share a term. ``q_terms`` and ``t_terms`` are ``term_vectors``."""
+    both = pairs.select("s1_id", "cand_id").join(_side(q_terms, "s1_id", "q"), "s1_id").join(_side(t_terms, "cand_id", "t"), "cand_id")
+    return both.select("s1_id", "cand_id", _cosine("q", "t").alias("cosine")).filter(F.col("cosine") > 0)
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, targets: DataFrame, k: int, scripts: str = "latin") -> DataFrame:
-    """The top ``k`` of ``block_v2`` pairs by the blend of cosine, fuzzy address and key score; all parts stay in the row."""
+def rerank(candidates: DataFrame, queries: DataFrame, targets: DataFrame, k: int, scripts: str = "all", rules: DataFrame | None = None) -> DataFrame:
+    """The top ``k`` of ``block_v2`` pairs by the blend of cosine, fuzzy address and key score; all parts stay in the row.
+
+    A record's terms and texts are gathered once; a pair meets them by its two ids.
+    """
     from ..functions.similarity import token_set_sim
 
-    q, t = key_parts(queries, scripts), key_parts(targets, scripts)
+    q, t = key_parts(queries, scripts, rules), key_parts(targets, scripts, rules)
     frequency = collection_frequency(t)
-    cosine = cosines(candidates, term_weights(q, frequency), term_weights(t, frequency))
-    names = lambda p, who, x: p.select(F.col("entity_id").alias(who), F.col("clean").alias(f"{x}_name"), F.array_join("addr_tokens", " ").alias(f"{x}_addr"))
+    texts = lambda p: p.select("entity_id", F.col("clean").alias("name"), F.array_join("addr_tokens", " ").alias("addr")).join(term_vectors(p, frequency), "entity_id", "left")
     top_score = BOOST_POSTAL + BOOST_STREET + BOOST_TOKEN * MOST_TOKENS
-    rows = candidates.drop("rank").join(cosine, ["s1_id", "cand_id"], "left").join(names(q, "s1_id", "q"), "s1_id").join(names(t, "cand_id", "t"), "cand_id")
-    rows = rows.withColumns({"cosine": F.coalesce("cosine", F.lit(0.0)), "fuzzy_name": token_set_sim("q_name", "t_name"), "fuzzy_addr": token_set_sim("q_addr", "t_addr"), "key_share": F.least(F.col("score") / (F.col("best_key") + top_score), F.lit(1.0))})
+    rows = candidates.drop("rank").join(_side(texts(q), "s1_id", "q"), "s1_id").join(_side(texts(t), "cand_id", "t"), "cand_id")
+    parts = {"cosine": F.coalesce(_cosine("q", "t"), F.lit(0.0)), "fuzzy_name": token_set_sim("q_name", "t_name"), "fuzzy_addr": token_set_sim("q_addr", "t_addr"), "key_share": F.least(F.col("score") / (F.col("best_key") + top_score), F.lit(1.0))}
+    rows = rows.select(*[c for c in candidates.columns if c != "rank"], *[x.alias(n) for n, x in parts.items()])
     final = BLEND_COSINE * F.least(F.col("cosine") * COSINE_GAIN, F.lit(1.0)) + BLEND_NAME * F.col("fuzzy_name") + BLEND_ADDRESS * F.col("fuzzy_addr") + BLEND_KEYS * F.col("key_share")
-    return top(rows.withColumn("final", final).drop("q_name", "q_addr", "t_name", "t_addr"), k, F.desc(F.round("final", 9)), "cand_id")
+    return top(rows.withColumn("final", final), k, F.desc(F.round("final", 9)), "cand_id")
 
 
 def key_recall(query_keys: DataFrame, target_keys: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Pair features: one select over candidate pairs joined to both representations.
 
 26 are built-in expressions, 7 come from one Arrow-batched kernel (one crossing to Python per pair), 3 compare codes that
-were computed per record, 6 come from the shared-term join of ``weights``.
+were computed per record, 6 come from the weighted terms that ``weights`` gives each record.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ BASE_FEATURES = [*BUILT_IN, *KERNEL]
 ALL_FEATURES = [*BASE_FEATURES, *RELATIONAL, *PHONETIC]
 _SIDE = ["entity_id", "country", "name_clean", "name_tokens", "name_set", "compressed", "acronym", "prefix4", "name_sorted", "name_char3", "addr_clean", "addr_set", "addr_char3", "postal", "street_no"]
 _CODES = ["name_soundex", "name_metaphone", "name_codes"]
+_TERMS = ["name_terms", "name_norm", "addr_terms", "addr_norm"]
 
 
-def paired(pairs: DataFrame, s1: DataFrame, targets: DataFrame, phonetic: bool = False) -> DataFrame:
+def paired(pairs: DataFrame, s1: DataFrame, targets: DataFrame, phonetic: bool = False, terms: bool = False) -> DataFrame:
     """``pairs`` with the representations of both sides, as a_ and b_ columns."""
-    columns = _SIDE + (_CODES if phonetic else [])
+    columns = _SIDE + (_CODES if phonetic else []) + (_TERMS if terms else [])
     a = s1.select(*[F.col(c).alias(f"a_{c}") for c in columns])
     b = targets.select(*[F.col(c).alias(f"b_{c}") for c in columns])
     return pairs.join(a, pairs["s1_id"] == F.col("a_entity_id")).join(b, pairs["cand_id"] == F.col("b_entity_id"))
@@ -85,13 +86,12 @@ def features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, idf: tuple[Dat
 
     For all 42, ``s1`` and ``targets`` come from ``represent.with_phonetics``.
     """
-    rows = paired(pairs, s1, targets, phonetic=idf is not None)
+    columns = built_in(F.col("rank"), F.col("score"))
+    if idf:
+        fields = {"name": ("name_tokens", idf[0]), "addr": ("addr_tokens", idf[1])}
+        s1, targets = (x.join(weights.vectors(x, fields), "entity_id", "left") for x in (s1, targets))
+        columns |= phonetics() | weights.scores("name", "a_", "b_") | weights.scores("addr", "a_", "b_")
+    rows = paired(pairs, s1, targets, phonetic=idf is not None, terms=idf is not None)
     kernels = S.pair_kernels("a_name_clean", "b_name_clean", "a_name_sorted", "b_name_sorted", "a_addr_clean", "b_addr_clean")
-    rows = rows.withColumn("k", kernels)
-    columns = built_in(F.col("rank"), F.col("score")) | (phonetics() if idf else {})
-    out = rows.select("s1_id", "cand_id", *[x.alias(n) for n, x in columns.items()], "k.*")
-    if not idf:
-        return out
-    for prefix, tokens, table in (("name", "name_tokens", idf[0]), ("addr", "addr_tokens", idf[1])):
-        out = out.join(weights.pair_scores(pairs, s1, targets, tokens, table, prefix), ["s1_id", "cand_id"])
-    return out.select("s1_id", "cand_id", *ALL_FEATURES)
+    out = rows.withColumn("k", kernels).select("s1_id", "cand_id", *[x.alias(n) for n, x in columns.items()], "k.*")
+    return out.select("s1_id", "cand_id", *ALL_FEATURES) if idf else out

@@ -55,8 +55,18 @@ def canonical_map(pairs: DataFrame, frequency: DataFrame, least_n: int = 15, mos
     return one.withColumn("place", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "variant"))).filter(F.col("place") <= most).drop("place")
 
 
-def apply_map(words: DataFrame, rules: DataFrame, column: str = "name_tokens") -> DataFrame:
-    """``words`` (entity_id, country, ...) with the column's tokens replaced by their canonical forms, order kept."""
-    each = words.select("entity_id", "country", F.posexplode(column).alias("pos", "variant")).join(rules.select("country", "variant", "canonical"), ["country", "variant"], "left")
-    lists = each.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "variant").alias("t")))).alias("p")).select("entity_id", F.col("p.t").alias("kw_new"))
-    return words.join(lists, "entity_id", "left").withColumn(column, F.coalesce("kw_new", F.col(column))).drop("kw_new")
+def apply_map(words: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
+    """``words`` (entity_id, country, ...) with the columns' tokens replaced by their canonical forms, order kept.
+
+    ``rules`` are at most ``MOST_RULES`` a country, so they are broadcast; all columns share one grouping.
+    """
+    columns = columns or ("name_tokens",)
+    place = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("ts")) for i, c in enumerate(columns)])
+    each = words.select("entity_id", "country", F.inline(place)).select("entity_id", "country", "i", F.posexplode("ts").alias("pos", "variant"))
+    new = each.join(F.broadcast(rules.select("country", "variant", "canonical")), ["country", "variant"], "left").select("entity_id", "i", "pos", "canonical", "variant")
+    # Only records with a variant are grouped; the others keep their tokens.
+    hit = new.join(new.filter(F.col("canonical").isNotNull()).select("entity_id").distinct(), "entity_id", "left_semi")
+    entry = lambda i: F.when(F.col("i") == i, F.struct("pos", F.coalesce("canonical", "variant").alias("t")))
+    lists = hit.groupBy("entity_id").agg(*[F.array_sort(F.collect_list(entry(i))).alias(f"kw_{i}") for i in range(len(columns))])
+    out = words.join(lists, "entity_id", "left")
+    return out.withColumns({c: F.when(F.col(f"kw_{i}").isNull(), F.col(c)).otherwise(F.transform(f"kw_{i}", lambda x: x["t"])) for i, c in enumerate(columns)}).drop(*[f"kw_{i}" for i in range(len(columns))])

@@ -13,16 +13,17 @@ from ..functions import text as X
 from ..operators import assignment, blocking, features, labels, metrics, mining, models, sampling, validation, weights
 from ..operators.represent import represent, with_phonetics
 from ..sources import records as R
-from ..sources import sinks
+from ..sources import sinks, staging
 from . import oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-TRUTH_DOC = """truth as (select concat('S', cast(1 + a.doc_id % 3 as varchar), '-', lpad(cast(a.doc_id as varchar), 7, '0')) as s1_id,
-  concat('S', cast(1 + b.doc_id % 3 as varchar), '-', lpad(cast(b.doc_id as varchar), 7, '0')) as cand_id from documents a join documents b on a.text = b.text where a.doc_id % 3 = 0 and b.doc_id % 3 <> 0)"""
-V1_CAP, V1_K, V2_OVER, V2_CAPS = 300, 35, 40, {"exact": 400, "key": 200}
+TRUTH_DOC = """truth as (select s1_id, concat('S', cast(1 + doc_id % 3 as varchar), '-', lpad(cast(doc_id as varchar), 7, '0')) as cand_id
+  from (select text, min(concat('S1-', lpad(cast(doc_id as varchar), 7, '0'))) as s1_id from documents where doc_id % 3 = 0 group by 1) join documents using (text) where doc_id % 3 <> 0)"""
+#: The caps and list lengths of use: first generation cut or skipped, second generation.
+V1_CAP, V1_K, DROP_CAP, DROP_K, V2_OVER, V2_CAPS, RERANK_K = 300, 35, 500, 40, blocking.OVERGENERATE, blocking.CAPS, 100
 BLOCKED = O.blocked(O.DOC, V1_CAP, V1_K, "truncate")
 PROBS = f"{BLOCKED},\nprobs as (select s1_id, cand_id, rank, round(score / (score + 4.0), 4) as prob, count(*) over (partition by s1_id) as n_pairs from ranked)"
 S1 = "s1 as (select entity_id as s1_id, country from parts where entity_id like 'S1-%')"
@@ -110,6 +111,22 @@ def clean_name(spark, d):
     return represent(doc(spark, d)).select("entity_id", "name_clean", "compressed", "acronym_all", F.to_json("name_tokens").alias("tokens"))
 
 
+#: Names in several scripts and what they are in Latin letters.
+SCRIPTS = {
+    "Москва Щукин": "moskva shchukin", "Ελλάδα ψωμί": "ellada psomi", "שלום": "shlvm", "النور": "alnwr", "टाटा प्राइवेट": "ttaattaa pvt", "カタカナ トヨタ": "katakana toyota",
+    "서울 한국": "seoul hangug", "กรุงเทพ": "krungethph", "ＡＢＣ １２": "abc 12", "ŠKODA Łódź": "skoda lodz", "中文": "中文",
+}
+
+
+@query(f"select n_nationkey::long as n_nationkey, i, lower(n_name) || ' ' || latin as name_clean from nation, (values {', '.join(f'({i}, {O.quoted(v)})' for i, v in enumerate(SCRIPTS.values()))}) as names(i, latin)")
+def names_in_scripts(spark, d):
+    each = F.posexplode(F.array(*map(F.lit, SCRIPTS))).alias("i", "name")
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", each)
+    records = rows.select(F.concat_ws("-", "n_nationkey", "i").alias("entity_id"), F.concat_ws(" ", "n_name", "name").alias("business_name"), F.lit(None).cast("string").alias("business_address"), F.lit("").alias("country"))
+    clean = represent(records).select("name_clean", F.split("entity_id", "-").alias("k"))
+    return clean.select(F.col("k")[0].cast("long").alias("n_nationkey"), F.col("k")[1].cast("int").alias("i"), "name_clean")
+
+
 @query(f"{_norm(O.PART)} select entity_id, addr_clean, to_json(addr_tokens) as tokens from rep")
 def clean_address(spark, d):
     return represent(part(spark, d)).select("entity_id", "addr_clean", F.to_json("addr_tokens").alias("tokens"))
@@ -190,9 +207,9 @@ def block_keys_second(spark, d):
     return blocking.keys_v2(blocking.key_parts(part(spark, d)), phonetic=False).select("entity_id", F.col("key_ord").cast("long").alias("key_ord"), "kind", "key", "weight")
 
 
-@query(f"with {O.blocked(O.PART, 60, 10, 'drop')} select s1_id, cand_id, score, rank from ranked")
+@query(f"with {O.blocked(O.PART, DROP_CAP, DROP_K, 'drop')} select s1_id, cand_id, score, rank from ranked")
 def block_drop(spark, d):
-    return _ranked(spark, d, part, 60, 10, "drop").select("s1_id", "cand_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _ranked(spark, d, part, DROP_CAP, DROP_K, "drop").select("s1_id", "cand_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {BLOCKED} select s1_id, cand_id, score, rank from ranked")
@@ -224,25 +241,28 @@ def overgenerate(spark, d):
     return _over(spark, d).select("s1_id", "cand_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round("best_key", 6).alias("best_key"))
 
 
-_TERMS = """all_terms as (select entity_id, country, unnest(list_concat(['n:' || t for t in toks], ['a:' || t for t in addr_tokens])) as term from parts),
-cf as (select country, term, count(*) as cf from all_terms where entity_id not like 'S1-%' group by all),
-totals as (select country, substr(term, 1, 2) as field, sum(cf) as total from cf group by all),
-raw as (select entity_id, t.country, t.term, count(*) * ln(1 + coalesce(max(total), 1) / coalesce(max(cf), 1)) as w from all_terms t left join cf using (country, term) left join totals x on x.country = t.country and x.field = substr(t.term, 1, 2) group by 1, 2, 3),
-vec as (select entity_id, term, w / sqrt(sum(w * w) over (partition by entity_id)) as w from raw)"""
-
-
-@query(f"with {O.block_v2(O.DOC, V2_OVER, V2_CAPS)},\n{_TERMS} select s1_id, cand_id, round(sum(a.w * b.w), 6) as cosine from over join vec a on a.entity_id = s1_id join vec b on b.entity_id = cand_id and a.term = b.term group by 1, 2")
+@query(f"with {O.block_v2(O.DOC, V2_OVER, V2_CAPS)},\n{O.term_vectors()} select s1_id, cand_id, round(sum(a.w * b.w), 6) as cosine from over join vec a on a.entity_id = s1_id join vec b on b.entity_id = cand_id and a.term = b.term group by 1, 2")
 def rerank_cosine(spark, d):
     s1, targets = _doc_sides(spark, d)
     q, t = blocking.key_parts(s1), blocking.key_parts(targets)
     cf = blocking.collection_frequency(t)
-    return blocking.cosines(_over(spark, d), blocking.term_weights(q, cf), blocking.term_weights(t, cf)).select("s1_id", "cand_id", F.round("cosine", 6).alias("cosine"))
+    return blocking.cosines(_over(spark, d), blocking.term_vectors(q, cf), blocking.term_vectors(t, cf)).select("s1_id", "cand_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
-def rerank_topk(spark, d):
+def _parts(spark, d):
+    """Both sides' key parts, stored once: keys, boosts, terms and texts are all made of them."""
     s1, targets = _doc_sides(spark, d)
-    return blocking.rerank(blocking.block_v2(s1, targets, V2_OVER, V2_CAPS), s1, targets, 10)
+    return staging.table(blocking.key_parts(s1)), staging.table(blocking.key_parts(targets))
+
+
+_BLEND = ["score", "best_key", "cosine", "fuzzy_name", "fuzzy_addr", "key_share", "final"]
+
+
+@query(f"with {O.block_v2(O.DOC, V2_OVER, V2_CAPS, sounds=True)},\n{O.reranked(RERANK_K)} select s1_id, cand_id, rank, {', '.join(f'round({c}, 6) as {c}' for c in _BLEND)} from reranked")
+def rerank_topk(spark, d):
+    q, t = _parts(spark, d)
+    rows = blocking.rerank(blocking.block_v2(q, t, V2_OVER, V2_CAPS), q, t, RERANK_K)
+    return rows.select("s1_id", "cand_id", F.col("rank").cast("long").alias("rank"), *[F.round(c, 6).alias(c) for c in _BLEND])
 
 
 @query(f"with {O.parts(O.DOC)},\n{O.keys_v1()},\n{TRUTH_DOC}, hit as (select distinct q.kind, s1_id, cand_id from truth join keys q on q.entity_id = s1_id join keys t on t.entity_id = cand_id and t.key = q.key), both_ as (select kind, count(*) as hits from hit group by 1 union all select 'any', count(*) from (select distinct s1_id, cand_id from hit)) select kind, hits, round(hits / greatest((select count(*) from truth), 1)::double, 6) as recall from both_")
@@ -259,11 +279,18 @@ def key_misses(spark, d):
     return blocking.key_misses(k(s1), k(targets), R.truth_doc(spark, d))
 
 
-@query()
+_GRID = ", ".join("(" + ", ".join(map(str, w)) + ")" for w in blocking.blend_grid())
+
+
+@query(f"""with {O.block_v2(O.DOC, V2_OVER, V2_CAPS, sounds=True)},\n{O.reranked(V2_OVER)},\n{TRUTH_DOC}, grid(w_cosine, w_name, w_addr, w_keys) as (values {_GRID}),
+tried as (select g.*, s1_id, cand_id, row_number() over (partition by w_cosine, w_name, w_addr, w_keys, s1_id order by round(w_cosine * least(cosine * 1.4, 1.0) + w_name * fuzzy_name + w_addr * fuzzy_addr + w_keys * key_share, 9) desc, cand_id) as place from reranked, grid g),
+hit as (select tried.*, t.s1_id is not null as t from tried left join truth t using (s1_id, cand_id)), n as (select count(*) as n from truth)
+select w_cosine::double as w_cosine, w_name::double as w_name, w_addr::double as w_addr, w_keys::double as w_keys, k::int as k, count(*) filter (where place <= k and t) as hits, round(count(*) filter (where place <= k and t) / greatest(max(n), 1)::double, 6) as recall
+from hit, n, (select unnest([30, 100]) as k) group by all""")
 def tune_rerank(spark, d):
-    s1, targets = _doc_sides(spark, d)
-    over = blocking.block_v2(s1, targets, V2_OVER, V2_CAPS, phonetic=False)
-    return blocking.tune_blend(blocking.rerank(over, s1, targets, V2_OVER), R.truth_doc(spark, d), ks=(1, 10))
+    q, t = _parts(spark, d)
+    rows = blocking.rerank(blocking.block_v2(q, t, V2_OVER, V2_CAPS), q, t, V2_OVER)
+    return blocking.tune_blend(rows, R.truth_doc(spark, d), ks=(30, 100)).withColumn("recall", F.round("recall", 6))
 
 
 # --- pair features
@@ -277,8 +304,12 @@ def _rep_after() -> str:
     return O.rep(O.DOC).replace("rec as (", "rec2 as (", 1).replace(" from rec)", " from rec2)")
 
 
+BUILT_IN_SQL: dict[str, str] = {}
+
+
 def _pair_query(columns: dict[str, str]):
     """A query of built-in features and their SQL."""
+    BUILT_IN_SQL.update(columns)
     sql = _pairs_sql(", ".join(f"{e} as {n}" for n, e in columns.items()))
 
     def put(f):
@@ -357,56 +388,107 @@ def addr_presence(): ...
 def levenshtein_sim(): ...
 
 
-@query(_pairs_sql(_r("case when a.name_clean = '' and b.name_clean = '' then 1.0 else jaro_winkler_similarity(a.name_clean, b.name_clean) end") + " as name_jw, " + _r(f"case when {_BOTH} then jaro_winkler_similarity(a.addr_clean, b.addr_clean) else 0.0 end") + " as addr_jw"))
+_KERN = O.kernels("select a.name_clean as x, b.name_clean as y from ranked join rep a on a.entity_id = s1_id join rep b on b.entity_id = cand_id union all select a.addr_clean, b.addr_clean from ranked join rep a on a.entity_id = s1_id join rep b on b.entity_id = cand_id")
+
+
+def _jw(x: str) -> str:
+    return f"case when a.{x} = '' and b.{x} = '' then 1.0 else jaro_winkler_similarity(a.{x}, b.{x}) end"
+
+
+KERNEL_SQL = {
+    "name_jw": _jw("name_clean"), "name_token_sort": "kn.token_sort", "name_token_set": "kn.token_set", "name_sorted_jw": _jw("name_sorted"), "addr_jw": f"case when {_BOTH} then jaro_winkler_similarity(a.addr_clean, b.addr_clean) else 0.0 end",
+    "addr_token_sort": f"case when {_BOTH} then ka.token_sort else 0.0 end", "addr_token_set": f"case when {_BOTH} then ka.token_set else 0.0 end",
+}
+
+
+def _kernel_sql(columns: dict[str, str], more: str = "", joins: str = "") -> str:
+    return f"with {PROBS},\n{_rep_after()},\n{_KERN}{more} select p.s1_id, p.cand_id, {', '.join(f'{_r(e)} as {n}' for n, e in columns.items())} from ranked p join rep a on a.entity_id = p.s1_id join rep b on b.entity_id = p.cand_id join kern kn on kn.x = a.name_clean and kn.y = b.name_clean join kern ka on ka.x = a.addr_clean and ka.y = b.addr_clean {joins}"
+
+
+def _six(rows: DataFrame, columns) -> DataFrame:
+    return rows.select("s1_id", "cand_id", *[F.round(c, 6).alias(c) for c in columns])
+
+
+@query(_pairs_sql(_r(KERNEL_SQL["name_jw"]) + " as name_jw, " + _r(KERNEL_SQL["addr_jw"]) + " as addr_jw"))
 def jaro_winkler_sim(spark, d):
-    return _all_basic(spark, d).select("s1_id", "cand_id", F.round("name_jw", 6).alias("name_jw"), F.round("addr_jw", 6).alias("addr_jw"))
+    return _six(_all_basic(spark, d), ["name_jw", "addr_jw"])
 
 
 def _all_basic(spark, d):
-    s1, targets = R.split_sources(represent(doc(spark, d)))
+    s1, targets = R.split_sources(staging.table(represent(doc(spark, d))))
     return features.features(_ranked(spark, d), s1, targets)
 
 
-@query()
+def _some(*names: str) -> dict[str, str]:
+    return {n: KERNEL_SQL[n] for n in names}
+
+
+@query(_kernel_sql(_some("name_token_sort", "name_sorted_jw", "addr_token_sort")))
 def token_sort_sim(spark, d):
-    return _all_basic(spark, d).select("s1_id", "cand_id", "name_token_sort", "name_sorted_jw", "addr_token_sort")
+    return _six(_all_basic(spark, d), ["name_token_sort", "name_sorted_jw", "addr_token_sort"])
 
 
-@query()
+@query(_kernel_sql(_some("name_token_set", "addr_token_set")))
 def token_set_sim(spark, d):
-    return _all_basic(spark, d).select("s1_id", "cand_id", "name_token_set", "addr_token_set")
+    return _six(_all_basic(spark, d), ["name_token_set", "addr_token_set"])
 
 
-@query()
+@query(_kernel_sql(BUILT_IN_SQL | KERNEL_SQL))
 def features_basic(spark, d):
-    return _all_basic(spark, d)
+    return _six(_all_basic(spark, d), features.BASE_FEATURES)
 
 
-def _phonetic_sides(spark, d):
-    return R.split_sources(with_phonetics(represent(doc(spark, d))))
+def _phonetic_records(spark, d):
+    return with_phonetics(represent(doc(spark, d)))
 
 
-@query()
+_CODED = O.coded("name_tokens", "rep") + """,
+sounds as (select r.entity_id, any_value(w.sdx) as name_soundex, any_value(w.mph) as name_metaphone from rep r join word_codes w on w.word = r.name_clean group by 1),
+lists as (select entity_id, list(mph order by i) as name_codes from (select entity_id, i, name_tokens[i] as word from (select *, unnest(range(1, len(name_tokens) + 1)) as i from rep)) join word_codes using (word) group by 1),
+codes as (select s.*, coalesce(name_codes, []) as name_codes from sounds s left join lists using (entity_id))"""
+
+
+@query(f"{_norm(O.DOC)},\n{_CODED} select entity_id, name_soundex from codes")
 def soundex_code(spark, d):
-    return with_phonetics(represent(doc(spark, d))).select("entity_id", "name_soundex")
+    return _phonetic_records(spark, d).select("entity_id", "name_soundex")
 
 
-@query()
+@query(f"{_norm(O.DOC)},\n{_CODED} select entity_id, name_metaphone, to_json(name_codes) as name_codes from codes")
 def metaphone_code(spark, d):
-    return with_phonetics(represent(doc(spark, d))).select("entity_id", "name_metaphone", "name_codes")
+    return _phonetic_records(spark, d).select("entity_id", "name_metaphone", F.to_json("name_codes").alias("name_codes"))
 
 
-@query()
+_SHORT, _LONG = ("case when len(ca.name_codes) > len(cb.name_codes) then {} else {} end".format(*x) for x in (("cb.name_codes", "ca.name_codes"), ("ca.name_codes", "cb.name_codes")))
+PHONETIC_SQL = {f"name_{k}_match": _flag(f"ca.name_{k} <> '' and ca.name_{k} = cb.name_{k}") for k in ("metaphone", "soundex")} | {
+    "name_phonetic_token_ratio": f"case when len({_SHORT}) = 0 then 0.0 else len(list_filter({_SHORT}, lambda x: x <> '' and list_contains({_LONG}, x))) / len({_SHORT})::double end",
+}
+_CODES_JOIN = "join codes ca on ca.entity_id = p.s1_id join codes cb on cb.entity_id = p.cand_id"
+
+
+@query(f"with {BLOCKED},\n{_rep_after()},\n{_CODED} select p.s1_id, p.cand_id, {', '.join(f'{_r(e)} as {n}' for n, e in PHONETIC_SQL.items())} from ranked p {_CODES_JOIN}")
 def phonetic_ratio(spark, d):
-    s1, targets = _phonetic_sides(spark, d)
+    s1, targets = R.split_sources(_phonetic_records(spark, d))
     rows = features.paired(_ranked(spark, d), s1, targets, phonetic=True)
-    return rows.select("s1_id", "cand_id", *[x.alias(n) for n, x in features.phonetics().items()])
+    return rows.select("s1_id", "cand_id", *[F.round(x, 6).alias(n) for n, x in features.phonetics().items()])
 
 
-@query()
+def _term_ctes(p: str, tokens: str) -> str:
+    """CTEs {p}shared: cosine c, BM25 bm and highest idf m of the pairs that share a term."""
+    return f"""{p}df as (select country, term, count(*) as df from (select country, unnest(list_distinct({tokens})) as term from rep where entity_id not like 'S1-%') group by all),
+{p}idf as (select country, term, ln((1 + n) / (1 + df)) + 1 as idf from (select *, row_number() over (partition by country order by df desc, term) as place from {p}df) join (select country, count(*) as n from rep where entity_id not like 'S1-%' group by 1) using (country) where place <= {weights.VOCABULARY}),
+{p}tf as (select entity_id, country, term, count(*) as tf, max(length) as length from (select entity_id, country, len({tokens}) as length, unnest({tokens}) as term from rep) group by all),
+{p}vec as (select t.*, idf, (1 + ln(tf)) * idf / sqrt(sum(pow((1 + ln(tf)) * idf, 2)) over (partition by entity_id)) as u from {p}tf t join {p}idf using (country, term)),
+{p}shared as (select s1_id, cand_id, sum(a.u * b.u) as c, sum(a.idf * b.tf * 2.5 / (b.tf + 1.5 * (0.25 + 0.75 * b.length / 5.0))) as bm, max(a.idf) as m from ranked join {p}vec a on a.entity_id = s1_id join {p}vec b on b.entity_id = cand_id and a.term = b.term group by 1, 2)"""
+
+
+RELATIONAL_SQL = {f"{p}_{n}": f"coalesce({p[0]}s.{x}, 0)" for p in ("name", "addr") for n, x in (("tfidf_cosine", "c"), ("bm25", "bm"), ("max_shared_idf", "m"))}
+
+
+@query(_kernel_sql(BUILT_IN_SQL | KERNEL_SQL | RELATIONAL_SQL | PHONETIC_SQL, f",\n{_CODED},\n{_term_ctes('n', 'name_tokens')},\n{_term_ctes('a', 'addr_tokens')}", f"{_CODES_JOIN} left join nshared ns on ns.s1_id = p.s1_id and ns.cand_id = p.cand_id left join ashared as_ on as_.s1_id = p.s1_id and as_.cand_id = p.cand_id").replace("coalesce(as.", "coalesce(as_."))
 def features_all(spark, d):
-    s1, targets = _phonetic_sides(spark, d)
-    return features.features(_ranked(spark, d), s1, targets, (weights.fit_idf(targets, "name_tokens"), weights.fit_idf(targets, "addr_tokens")))
+    s1, targets = R.split_sources(staging.table(_phonetic_records(spark, d)))
+    rows = features.features(_ranked(spark, d), s1, targets, (weights.fit_idf(targets, "name_tokens"), weights.fit_idf(targets, "addr_tokens")))
+    return _six(rows, features.ALL_FEATURES)
 
 
 # --- TF-IDF and BM25
@@ -424,19 +506,18 @@ def tfidf_fit(spark, d):
     return weights.fit_idf(targets, "name_tokens", 500).withColumn("idf", F.round("idf", 6))
 
 
-_WEIGHTS = f"""with {BLOCKED},
-{_rep_after()},
-{_idf_sql('name_tokens')},
-terms as (select entity_id, country, len(name_tokens) as length, unnest(name_tokens) as term from rep),
-tf as (select entity_id, country, term, count(*) as tf, max(length) as length from terms group by all),
-raw as (select tf.*, idf, (1 + ln(tf)) * idf as w from tf join idf using (country, term)),
-vec as (select *, w / sqrt(sum(w * w) over (partition by entity_id)) as u from raw),
-shared as (select s1_id, cand_id, sum(a.u * b.u) as c, sum(a.idf * b.tf * 2.5 / (b.tf + 1.5 * (0.25 + 0.75 * b.length / 5.0))) as bm, max(a.idf) as m from ranked join vec a on a.entity_id = s1_id join vec b on b.entity_id = cand_id and a.term = b.term group by 1, 2)
-select s1_id, cand_id, [column] from ranked left join shared using (s1_id, cand_id)"""
+@query(f"""{_norm(O.DOC)}, t as (select country, unnest(name_tokens) as term from rep where entity_id not like 'S1-%'), df as (select country, term, count(*) as df from t group by all)
+select country, term, df, round(ln((1 + n) / (1 + df)) + 1, 6) as idf from (select *, row_number() over (partition by country order by df desc, term) as place from df) join (select country, count(*) as n from rep where entity_id not like 'S1-%' group by 1) using (country) where place <= {weights.VOCABULARY}""")
+def idf_from_counts(spark, d):
+    _, targets = R.split_sources(represent(doc(spark, d)))
+    return weights.fit_idf(targets, "name_tokens", df_mode="occurrence").withColumn("idf", F.round("idf", 6))
+
+
+_WEIGHTS = f"with {BLOCKED},\n{_rep_after()},\n{_term_ctes('n', 'name_tokens')} select s1_id, cand_id, [column] from ranked left join nshared using (s1_id, cand_id)"
 
 
 def _name_scores(spark, d):
-    s1, targets = R.split_sources(represent(doc(spark, d)))
+    s1, targets = R.split_sources(staging.table(represent(doc(spark, d))))
     return weights.pair_scores(_ranked(spark, d), s1, targets, "name_tokens", weights.fit_idf(targets, "name_tokens"), "name")
 
 
@@ -567,19 +648,19 @@ def recall_at_k(spark, d):
     return metrics.recall_at(R.truth_doc(spark, d), _ranked(spark, d), (5, 10, 30)).withColumn("recall", F.round("recall", 6))
 
 
-_PER_S1 = f"with {O.blocked(O.PART, 60, 10, 'drop')}, n as (select entity_id, count(cand_id) as n from parts left join ranked on s1_id = entity_id where entity_id like 'S1-%' group by 1)"
+_PER_S1 = f"with {O.blocked(O.PART, DROP_CAP, DROP_K, 'drop')}, n as (select entity_id, count(cand_id) as n from parts left join ranked on s1_id = entity_id where entity_id like 'S1-%' group by 1)"
 
 
 @query(f"{_PER_S1} select round(avg(n), 6) as mean_candidates from n")
 def mean_candidates(spark, d):
     s1, _ = R.split_sources(part(spark, d))
-    return metrics.candidates_per_entity(s1, _ranked(spark, d, part, 60, 10, "drop")).select(F.round("mean_candidates", 6).alias("mean_candidates"))
+    return metrics.candidates_per_entity(s1, _ranked(spark, d, part, DROP_CAP, DROP_K, "drop")).select(F.round("mean_candidates", 6).alias("mean_candidates"))
 
 
 @query(f"{_PER_S1} select count(*) filter (where n = 0) as zero_candidates from n")
 def zero_candidates(spark, d):
     s1, _ = R.split_sources(part(spark, d))
-    return metrics.candidates_per_entity(s1, _ranked(spark, d, part, 60, 10, "drop")).select("zero_candidates")
+    return metrics.candidates_per_entity(s1, _ranked(spark, d, part, DROP_CAP, DROP_K, "drop")).select("zero_candidates")
 
 
 # --- labels, samples, splits
@@ -649,17 +730,23 @@ def strata_counts(spark, d):
 
 _STOP = L.NAME_STOP + L.LEGAL + L.CORE_STOP_V2
 _LINKED = f"""{_norm(O.DOC)}, word_sets as (select entity_id, country, list_distinct(telling) as words, telling[1] as first from (select *, {O.without('name_tokens', _STOP, 3)} as telling from rep)),
-same as (select a.entity_id as s1_id, b.entity_id as cand_id, a.country, a.words as a, b.words as b from word_sets a join word_sets b on a.first = b.first and a.country = b.country where a.entity_id like 'S1-%' and b.entity_id not like 'S1-%' and len(a.words) > 0 and len(b.words) > 0),
+heads as (select country, first, min(entity_id) as s1_id from word_sets where entity_id like 'S1-%' and first is not null group by all),
+same as (select h.s1_id, b.entity_id as cand_id, h.country, a.words as a, b.words as b from heads h join word_sets b on b.first = h.first and b.country = h.country join word_sets a on a.entity_id = h.s1_id where b.entity_id not like 'S1-%'),
 cross_ as (select s1_id, cand_id, country, x, unnest(list_filter(b, lambda t: not list_contains(a, t))) as y from (select *, unnest(list_filter(a, lambda t: not list_contains(b, t))) as x from same)),
-variants as (select country, least(x, y) as x, greatest(x, y) as y, count(*) as n from cross_ where abs(length(x) - length(y)) <= 2 and levenshtein(x, y) <= 2 group by 1, 2, 3)"""
+near as (select * from cross_ where abs(length(x) - length(y)) <= 2 and levenshtein(x, y) <= 2),
+variants as (select country, least(x, y) as x, greatest(x, y) as y, count(*) as n from near group by 1, 2, 3)"""
+_RULED = """, df as (select country, term, count(*) as df from (select country, unnest(list_concat(a, b)) as term from same) group by all),
+ruled as (select v.country, case when coalesce(dx.df, 0) >= coalesce(dy.df, 0) then y else x end as variant, case when coalesce(dx.df, 0) >= coalesce(dy.df, 0) then x else y end as canonical, n
+  from variants v left join df dx on dx.country = v.country and dx.term = x left join df dy on dy.country = v.country and dy.term = y where n >= 2),
+rules as (select country, variant, canonical, n from (select *, row_number() over (partition by country, variant order by n desc, canonical) as place from ruled where length(variant) >= 4 and length(canonical) >= 4) where place = 1)"""
 
 
 def _first_word_links(spark, d):
-    """Links for mining: records whose names begin with the same telling word."""
+    """Links for mining: each target and the first S1 record whose name begins with the same telling word, one a target."""
     words = mining.mining_tokens(represent(doc(spark, d)))
-    s1, targets = R.split_sources(words)
-    first = F.get("words", F.lit(0)).alias("first")
-    links = s1.select(F.col("entity_id").alias("s1_id"), "country", first).join(targets.select(F.col("entity_id").alias("cand_id"), "country", first), ["country", "first"]).select("s1_id", "cand_id")
+    s1, targets = R.split_sources(words.select("entity_id", "country", F.get("words", F.lit(0)).alias("first")))
+    heads = s1.groupBy("country", "first").agg(F.min("entity_id").alias("s1_id"))
+    links = targets.withColumnRenamed("entity_id", "cand_id").join(heads, ["country", "first"]).select("s1_id", "cand_id")
     return mining.linked_words(links, words)
 
 
@@ -668,20 +755,25 @@ def variant_pairs(spark, d):
     return mining.variant_pairs(_first_word_links(spark, d), sounds=False)
 
 
-@query(_LINKED + """, df as (select country, term, count(*) as df from (select country, unnest(list_concat(a, b)) as term from same) group by all),
-ruled as (select v.country, case when coalesce(dx.df, 0) >= coalesce(dy.df, 0) then y else x end as variant, case when coalesce(dx.df, 0) >= coalesce(dy.df, 0) then x else y end as canonical, n
-  from variants v left join df dx on dx.country = v.country and dx.term = x left join df dy on dy.country = v.country and dy.term = y where n >= 2)
-select country, variant, canonical, n from (select *, row_number() over (partition by country, variant order by n desc, canonical) as place from ruled where length(variant) >= 4 and length(canonical) >= 4) where place = 1""")
+@query(_LINKED + _RULED + " select * from rules")
 def canonical_map(spark, d):
     linked = _first_word_links(spark, d)
     return mining.canonical_map(mining.variant_pairs(linked, sounds=False), mining.side_frequency(linked), least_n=2)
 
 
-@query()
+@query(_LINKED + f", sound as (select country, least(x, y) as x, greatest(x, y) as y, count(*) as n from near where {O.soundex('x')} = {O.soundex('y')} group by 1, 2, 3) select * from sound")
 def variant_pairs_sounding(spark, d):
     return mining.variant_pairs(_first_word_links(spark, d))
 
 
+@query(_LINKED + _RULED + f",\n{O.parts(O.DOC, rules='rules').replace('rec as (', 'rec2 as (', 1).replace(' from rec)', ' from rec2)')},\n{O.keys_v2()} select entity_id, key_ord, kind, key, weight from keys")
+def block_keys_mined(spark, d):
+    """Keys of records whose tokens are mapped by mined spellings."""
+    linked = _first_word_links(spark, d)
+    rules = staging.table(mining.canonical_map(mining.variant_pairs(linked, sounds=False), mining.side_frequency(linked), least_n=2))
+    return blocking.keys_v2(blocking.key_parts(doc(spark, d), rules=rules), phonetic=False).select("entity_id", F.col("key_ord").cast("long").alias("key_ord"), "kind", "key", "weight")
+
+
 # --- sinks and validation
 
 
@@ -771,7 +863,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labelled(spark, d):
     """Pairs of parts with the basic features; truth is the same name, country and postal code."""
     s1, targets = R.split_sources(part(spark, d))
-    pairs = blocking.block_v1(s1, targets, 60, 10, "truncate").select("s1_id", "cand_id", F.col("rank"), "score")
+    pairs = blocking.block_v1(s1, targets, V1_CAP, V1_K, "truncate").select("s1_id", "cand_id", F.col("rank"), "score")
     made = features.features(pairs, represent(s1), represent(targets))
     return labels.label(made, R.truth_part(part(spark, d)))
 

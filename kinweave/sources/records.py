@@ -18,18 +18,20 @@ def scan_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType =
     return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
-def no_nulls(records: DataFrame) -> DataFrame:
-    """Missing strings as empty ones."""
-    return records.na.fill("")
+def scan_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of ``sinks.write_shards``."""
+    return spark.read.parquet(path)
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_ids(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """entity_id: the distinct non-blank lines of a text file, or of its first ``most`` ones."""
+    lines = spark.read.text(path).select(F.trim("value").alias("entity_id")).filter(F.col("entity_id") != "")
+    return (lines if most is None else lines.limit(most)).distinct()
 
 
-def scan_ids(spark: SparkSession, path: str) -> DataFrame:
-    """entity_id: the distinct non-blank lines of a text file."""
-    return spark.read.text(path).select(F.trim("value").alias("entity_id")).filter(F.col("entity_id") != "").distinct()
+def scan_rules(spark: SparkSession, path: str) -> DataFrame:
+    """country, variant, canonical: mined rules as ``cli mine`` writes them."""
+    return spark.read.schema("country string, variant string, canonical string").json(path)
 
 
 def read_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -79,7 +81,8 @@ def entity_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences of documents as records of many names, with copies, accents and missing addresses."""
+    """Documents as records of many names, with copies, accents and missing addresses. The view's definition (FIXTURES 3):
+    a name is the first sentence, at most 60 characters of it, as business names are short. Only this view reads it."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = F.substring(F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1)), 1, 60)
     address = F.when(F.col("doc_id") % 29 == 0, None).otherwise(F.concat((F.col("n_chars") % 1000).cast("string"), F.lit(" "), F.col("source"), F.lit(" Street, "), (10000 + F.col("n_chars") % 500).cast("string")))
@@ -87,17 +90,19 @@ def entity_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth_part(records: DataFrame) -> DataFrame:
-    """Pseudo truth of ``entity_part``: same name, country and postal code."""
+    """Pseudo truth of ``entity_part``: same name, country and postal code; the S1 record of the smallest id."""
     keyed = records.select("entity_id", "business_name", "country", X.postal_code(X.basic_clean(F.col("business_address"))).alias("postal"))
     return _same(keyed, ["business_name", "country", "postal"])
 
 
 def truth_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudo truth of ``entity_doc``: same whole text."""
+    """Pseudo truth of ``entity_doc``: same whole text; the S1 record of the smallest id."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _same(d.select(_entity_id("doc_id").alias("entity_id"), F.md5(F.col("text").cast("binary")).alias("text")), ["text"])
 
 
 def _same(keyed: DataFrame, on: list[str]) -> DataFrame:
+    """Each target that equals an S1 record goes to the one of the smallest id: a target belongs to one record at most, so
+    there are no more pairs than targets, however many records are equal."""
     s1, targets = split_sources(keyed)
-    return s1.withColumnRenamed("entity_id", "s1_id").join(targets.withColumnRenamed("entity_id", "cand_id"), on).select("s1_id", "cand_id")
+    return targets.withColumnRenamed("entity_id", "cand_id").join(s1.groupBy(*on).agg(F.min("entity_id").alias("s1_id")), on).select("s1_id", "cand_id")
