@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +39,11 @@ def write_tsv(lists: DataFrame, path: str, files: int | None = None) -> None:
     out.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One small JSON text, such as metrics."""
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_shards(pairs: DataFrame, path: str) -> None:
     """Feature rows by country, zstd; a rerun overwrites the countries it writes and no others."""
     pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("country").parquet(path)

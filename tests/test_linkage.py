@@ -1,3 +1,6 @@
+import json
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,8 +174,9 @@ def test_sinks_and_validation(spark, sides, tmp_path):
     assert found == {"duplicate row": 1, "repeated id": 1, "bad prefix": 2, "missing row": 2, "extra row": 1, "unknown id": 2, "match is no candidate": 2}
     assert validation.exit_code([validation.Finding("x", "warning", 3, [])]) == 0 and validation.exit_code([validation.Finding("x", "error", 1, [])]) == 1
     assert sinks.backfill(matches.filter("source1_entity_id <> 'S1-002'"), s1).count() == 3
-    (tmp_path / "ids").write_text("a\n\n b \na\n")
-    assert sorted(r[0] for r in R.scan_ids(spark, str(tmp_path / "ids")).collect()) == ["a", "b"]
+    (tmp_path / "ids").write_text("a\n\n b \na\nc\n")
+    assert sorted(r[0] for r in R.scan_ids(spark, str(tmp_path / "ids")).collect()) == ["a", "b", "c"]
+    assert sorted(r[0] for r in R.scan_ids(spark, str(tmp_path / "ids"), 2).collect()) == ["a", "b"]
     with pytest.raises(ValueError):
         R.long_pairs(back.drop("matched_entity_ids"))
     lines = spark.createDataFrame([("a\tb",), ("ab",), (" ",)], "value string")
@@ -193,8 +197,72 @@ def test_models_and_end_to_end(spark, tmp_path):
     assert again.columns == matcher.columns and again.thresholds == matcher.thresholds
     cands, matches = linkage.predict(s1, targets, again, how)
     assert cands.count() == matches.count() == 60
-    report = linkage.candidate_report(s1, targets, truth, how, (1, 10))
-    assert report["recall@10"] == 1.0
+    both = s1.union(recs(spark, [("S1-990", "Omega Bank", "1 Rue Royale, 75008", "France")]))
+    more = truth.union(spark.createDataFrame([("S1-990", "S3-001")], truth.schema))
+    report = linkage.harness(both, targets, more, how, again, per_country=600, ks=(1, 10), caps=(2, 10))
+    assert set(report) == {"US", "FRANCE"} and report["US"]["n_entities"] == 60 and report["US"]["pool_size"] == 110 and report["US"]["total_true_links"] == 50
+    assert report["US"]["blocking_recall"]["10"] == report["US"]["recall_of_all"] == 1.0 and "missed" not in report["US"] and report["US"]["end_to_end_cap10"]["macro_f05"] > 0.5
+    assert report["FRANCE"]["blocking_recall"] == {"1": 0.0, "10": 0.0} and report["FRANCE"]["missed"] == {"other country": 1} and report["FRANCE"]["zero_candidates"] == 1
+
+
+def test_pairs_to_shards_to_a_model(spark, tmp_path):
+    s1 = recs(spark, [(f"S1-{i:03d}", f"Alpha{i} Beta{i % 7} Works", f"{i} Oak Street, {10000 + i}", "US" if i % 3 else "India") for i in range(60)])
+    targets = recs(spark, [(f"S2-{i:03d}", f"Alpha{i} Beta{i % 7} Wrks Inc", f"{i} Oak St, {10000 + i}", "USA" if i % 3 else "IND") for i in range(60)])
+    truth = spark.createDataFrame([(f"S1-{i:03d}", f"S2-{i:03d}") for i in range(50)], "s1_id string, cand_id string")
+    how = linkage.Candidates(generation=2, k=8, overgenerate=20)
+    told = linkage.generate_pairs(s1, targets, truth, str(tmp_path / "pairs"), how, entities=30, held_out=6)
+    shards = R.scan_shards(spark, str(tmp_path / "pairs"))
+    assert told["entities"] == 30 and set(told["countries"]) == {"US", "INDIA"} and sum(c["pairs"] for c in told["countries"].values()) == shards.count()
+    assert set(features.ALL_FEATURES) <= set(shards.columns) and shards.select("s1_id").distinct().count() <= 30 and (tmp_path / "pairs" / "country=US").exists()
+    judged = sampling.stratified_sample(sampling.entities_with_flag(s1, truth), 6)
+    assert shards.join(judged, shards["s1_id"] == judged["entity_id"]).count() == 0
+    models.PRESETS["tiny"] = models.Preset(3, 3, 0.3, 3, 2, 4)
+    _, result = linkage.train(s1, targets, truth, 10, "tiny", linkage.Candidates(k=8), shards=shards)
+    assert result["auc"] > 0.8
+
+
+def test_mined_spellings_in_blocking(spark):
+    s1 = recs(spark, [("S1-1", "Zunder Traiding", "5 Hill Road, Bandraa", "India"), ("S1-2", "Traiding Post", None, "US")])
+    t = recs(spark, [("S2-1", "Big Trading", "7 Lake Road, Bandra", "India"), ("S2-2", "Trading Post", None, "US")])
+    rules = spark.createDataFrame([("INDIA", "traiding", "trading"), ("INDIA", "bandraa", "bandra")], "country string, variant string, canonical string")
+    parts = {r["entity_id"]: r for r in blocking.key_parts(s1, rules=rules).collect()}
+    assert parts["S1-1"]["toks"] == ["zunder", "trading"] and parts["S1-1"]["clean"] == "zunder traiding" and parts["S1-1"]["print_addr"] == ["hill", "bandra"]
+    assert parts["S1-2"]["toks"] == ["traiding", "post"]  # another country's rule
+    found = lambda **how: {(r["s1_id"], r["cand_id"]) for r in linkage.Candidates(generation=2, k=5, **how).find(s1, t).collect()}
+    assert ("S1-1", "S2-1") in found(rules=rules)
+    keys = lambda rules: {r["key"] for r in blocking.keys_v2(blocking.key_parts(s1, rules=rules), False).collect()}
+    assert "tok_n_INDIA_trading" in keys(rules) - keys(None) and "tok_a_INDIA_bandra" in keys(rules) - keys(None)
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from kinweave import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.chdir(tmp_path)
+    for kind in ("train", "test"):
+        (tmp_path / kind).mkdir()
+        head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+        (tmp_path / kind / f"{kind}_source1.tsv").write_text(head + "".join(f"S1-{i:03d}\tAlpha{i} Beta Works\t{i} Oak Street, {10000 + i}\tUS\n" for i in range(40)))
+        (tmp_path / kind / f"{kind}_source2.tsv").write_text(head + "".join(f"S2-{i:03d}\tAlpha{i} Beta Wrks\t{i} Oak St, {10000 + i}\tUSA\n" for i in range(40)))
+        (tmp_path / kind / f"{kind}_source3.tsv").write_text(head + "S3-001\tGamma\t\tUS\n")
+    (tmp_path / "train" / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i:03d}\tS2-{i:03d}\n" for i in range(40)))
+    models.PRESETS["tiny"] = models.Preset(3, 3, 0.3)
+    out = str(tmp_path / "output")
+    run = lambda words: cli.main([*words, "--train", str(tmp_path / "train"), "--test", str(tmp_path / "test"), "--out", out, "--model", str(tmp_path / "model")])
+    assert run(["mine"]) == 0 and [tuple(r) for r in R.scan_rules(spark, f"{out}/variants").collect()] == [("US", "wrks", "works")]
+    assert run(["pairs", "--entities", "25", "--per-country", "6"]) == 0
+    assert run(["train", "--preset", "tiny", "--val-size", "8", "--pairs", f"{out}/pairs", "--rules", f"{out}/variants"]) == 0
+    assert run(["package"]) == 1 and not list(tmp_path.glob("*.zip"))  # nothing valid yet
+    assert run(["predict"]) == 0 and run(["validate", "--check-ids"]) == 0
+    assert run(["evaluate", "--score", "--per-country", "12"]) == 0
+    assert json.loads(spark.read.text(f"{out}/evaluation.json").first()[0])["US"]["recall_of_all"] == 1.0
+    (tmp_path / "notes.md").write_text("x")
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x")
+    assert run(["package", "--team", "t", "--doc", "notes.md", "--code", "src"]) == 0
+    with zipfile.ZipFile(tmp_path / "t_submission.zip") as z:
+        assert z.namelist() == ["output/matching_results.tsv", "output/candidate_pairs.tsv", "notes.md", "code/src/a.py"]
+        assert len(z.read("output/matching_results.tsv").splitlines()) == 41
 
 
 def test_stream(spark, sides, tmp_path):
