@@ -235,11 +235,15 @@ def _alike(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "cls long, rep long")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, words: int, text_col: str) -> DataFrame:
-    """cls, shingles (the sorted distinct hashes) of the ``needed`` classes, each from one of its texts; stored."""
+def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """cls, shingles (the sorted distinct hashes) of the ``needed`` classes, each from one of its rows; stored.
+
+    Rows are met by id and text together, so that the copies of a text don't come to one task.
+    """
     text = F.col(f"`{text_col}`")
-    of = classes.join(needed.distinct(), "cls", "left_semi").select("text_hash")
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(of, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    of = classes.join(needed.distinct(), "cls", "left_semi").select(F.col("row.doc_id").alias("least"), F.col("row.text_hash").alias("least_hash"))
+    mine = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    texts = mine.join(of, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("text_hash") == F.col("least_hash")), "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -277,7 +281,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 ENTRY_BLOCK = 512
 
 
-def _undecided(entries: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float, docs: DataFrame, words: int, text_col: str) -> DataFrame:
+def _undecided(entries: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """label, rep_label: groups that a pair joins which meets under a key of ``entries`` (kind, key, cls) and is similar.
 
     Under each key all pairs of different groups are decided, but those within a group are not: the entries outside the
@@ -292,7 +296,7 @@ def _undecided(entries: DataFrame, labels: DataFrame, classes: DataFrame, simila
     blocks = lambda n: F.ceil(n / ENTRY_BLOCK)
     mixed = mixed.select(*key, F.col("most.label").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("subs"), blocks(F.col("n")).alias("parts"))
     rows = scratch.table(labelled.join(mixed, key).withColumn("asks", F.col("label") != F.col("main")))
-    sets = _sets(docs, classes, rows.select("cls"), words, text_col)
+    sets = _sets(docs, classes, rows.select("cls"), words, id_col, text_col)
     own = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = rows.withColumn("part", own(F.col("parts"), 2)).withColumn("sub", every("subs")).withColumn("side", F.lit(False))
@@ -352,7 +356,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     equal min-wise hashes leaves out pairs far from the similarity; the others are decided by their sets of shingles.
     """
     marks = scratch.table(signatures(docs, words, id_col, text_col))
-    classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     entries = classes.select("cls", F.explode("bands").alias("key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     multi = scratch.table(entries.join(sizes, "key"))
@@ -367,13 +371,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     pairs = by_band.unionByName(by_bits).unionByName(same_fp).filter(F.col("cls") != F.col("rep")).distinct()
     likely = scratch.table(_alike(pairs, classes.select("cls", "sig"), similarity))
     needed = likely.select(F.explode(F.array("cls", "rep")).alias("cls"))
-    alike = scratch.table(_verified(likely, _sets(docs, classes, needed, words, text_col), similarity))
+    alike = scratch.table(_verified(likely, _sets(docs, classes, needed, words, id_col, text_col), similarity))
     labels = scratch.table(components(_star(alike, "cls", "rep")).select(F.col("fp").alias("cls"), "label"))
     shared = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2)
     met = multi.select(F.lit(0).alias("kind"), "key", "cls")
     met = met.unionByName(near.join(classes.select("cls", "fp"), "fp").select(F.lit(1).alias("kind"), "key", "cls"))
     met = met.unionByName(classes.select("cls", "fp").join(shared, "fp").select(F.lit(2).alias("kind"), F.col("fp").alias("key"), "cls"))
-    further = scratch.table(_undecided(met, labels, classes, similarity, docs, words, text_col))
+    further = scratch.table(_undecided(met, labels, classes, similarity, docs, words, id_col, text_col))
     joined = components(_star(further, "label", "rep_label")).select(F.col("fp").alias("label"), F.col("label").alias("joined"))
     labels = labels.unionByName(classes.join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label")))
     grouped = classes.select("cls", "least_id").join(labels, "cls").join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
