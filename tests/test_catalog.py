@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 import __spark_entry__
@@ -17,10 +19,14 @@ def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_it_works_without_the_optional_subpackage():
+def test_it_works_without_the_optional_subpackage(tmp_path):
+    import shutil
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['kinweave.llm'] = None; sys.modules['corpus_pipeline'] = None\ntry:\n import __spark_entry__ as e\nexcept ImportError as x:\n raise SystemExit(str(x))\nprint(len(e.queries()))"
-    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(catalog.__file__).rsplit("/kinweave/", 1)[0])
+    root = str(catalog.__file__).rsplit("/kinweave/", 1)[0]
+    shutil.copytree(f"{root}/kinweave", tmp_path / "kinweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert out.returncode == 0 and int(out.stdout.split()[-1]) == len(catalog.QUERIES), out.stderr
