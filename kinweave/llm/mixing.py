@@ -117,8 +117,8 @@ def _plan(docs: DataFrame, slots: dict[str, int], blocks: dict[str, int]) -> tup
 def placed(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text") -> DataFrame:
     """``docs`` with kw_source, kw_number (in its source), kw_block, kw_slot; the mix is the order by (kw_slot, kw_number)."""
     source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
-    ties = [F.xxhash64(F.col(f"`{text_col}`"))] if text_col else []
-    key = F.concat_ws("-", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), *[t.cast("string") for t in ties])
+    ties = [F.md5(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary")))] if text_col else []
+    key = F.concat_ws("-", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), *ties)
     ranked = docs.withColumn("kw_source", source).withColumn("kw_hash", F.md5(key))
     found = {r["s"]: r["count"] for r in docs.groupBy(source.alias("s")).count().collect()}
     slots = whole({s: (weights or {}).get(s, default) for s in found})

@@ -79,6 +79,25 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_token_counts, op4_quality, op5_simhash, op6_mixing, op7_nearest, op8_sharding, op9_chat, op10_tiff)}
 
+def _crc32(blob: str) -> str:
+    """Byte by byte, without a table."""
+    step = "xor(s, b)"
+    for _ in range(8):
+        step = f"[xor(z >> 1, 3988292384 * (z & 1)) for z in [{step}]][1]"
+    pairs = f"list_filter(string_split(regexp_replace(hex({blob}), '(..)', '\\1,', 'g'), ','), lambda h: h <> '')"
+    values = f"[('0x' || h)::bigint for h in {pairs}]"
+    return f"xor(list_reduce({values}, lambda s, b: {step}, 4294967295::bigint), 4294967295)"
+
+
+def _feistel(x: str) -> str:
+    """``sharding.feistel`` of a number: four rounds over (l, r), a x b pairs."""
+    left, right = f"({x} // b)", f"({x} % b)"
+    for k in range(4):
+        add = f"('0x' || substr(md5('0-{k}-' || {right if k % 2 == 0 else left}), 1, 12))::bigint"
+        left, right = (f"(({left} + {add}) % a)", right) if k % 2 == 0 else (left, f"(({right} + {add}) % b)")
+    return f"({left} * b + {right})"
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,6 +109,26 @@ common as (select key from keyed where length(key) >= 1 group by key having coun
 select doc_id, count(*) as n_lines, count(c.key) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where c.key is null), '')) as kept_sha256
 from keyed k left join common c on k.key = c.key group by doc_id""",
+    # The cycle of 23 slots (weights 4 and 1) is searched slot by slot; blocks repeat it.
+    "op6_mixing": """
+with recursive docs as (select doc_id, coalesce(source, '') as source, md5(coalesce(text, '')) as h from documents),
+src as (select list(source order by source) as names, list(case when source = 'src0' then 4 else 1 end order by source) as w from (select distinct source from docs)),
+cycle as (select names, w, list_sum(w)::bigint as n from src),
+step(t, js, pick) as (
+  select 0::bigint, [0::bigint for x in w], 0::bigint from cycle
+  union all
+  select t + 1, [js[i] + (i = p)::bigint for i in range(1, len(js) + 1)], p from (
+    select t, js, list_position(due, list_min(due))::bigint as p from (
+      select t, js, [case when js[i] < w[i] and js[i] * n // w[i] <= t then ((js[i] + 1) * n + w[i] - 1) // w[i] else 9e15::bigint end for i in range(1, len(w) + 1)] as due from step, cycle where t < n))),
+at_ as (select names[pick] as source, js[pick] - 1 as turn, t - 1 as at_, w[pick] as w, n from step, cycle where pick > 0),
+numbered as (select doc_id, source, row_number() over (partition by source order by md5(concat_ws('-', coalesce(doc_id::varchar, ''), h)), doc_id, h) - 1 as number from docs)
+select doc_id, source, number, number // 16 as block, (number // 16 // w) * n + at_ as slot from numbered join at_ using (source) where number // 16 % w = turn""",
+    "op8_sharding": f"""
+with recursive docs as materialized (select doc_id, octet_length(encode(coalesce(text, '')))::bigint + 16 as size, coalesce({_crc32("encode(text)")}, 0) as text_crc32 from documents),
+num as (select *, row_number() over (order by md5(concat_ws('-', coalesce(doc_id::varchar, ''), size, text_crc32))) - 1 as number, count(*) over () as n from docs),
+halves as (select *, ceil(sqrt(n))::bigint as a from num), whole as materialized (select *, (n + a - 1) // a as b from halves),
+walk(number, n, a, b, x) as (select number, n, a, b, {_feistel("number")} from whole union all select number, n, a, b, {_feistel("x")} from walk where x >= n)
+select doc_id, size, text_crc32, 'rows' as law, (x % 40)::int as shard, x // 40 as slot, null::double as grown_shard from whole join (select number, x from walk where x < n) using (number)""",
     # Exact nearest neighbours: on a table of one cell, where all codes are scanned, the search finds all of them.
     "op7_nearest": """
 with sized as (select vec_id, embedding::double[] as v, len(embedding) as n from embeddings where vec_id is not null

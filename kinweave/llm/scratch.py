@@ -1,44 +1,5 @@
 """Tables between the passes of an operator, in the folder that driver and executors share."""
 
-from __future__ import annotations
+from ..sources.staging import drop, drop_since, folder, mark, table
 
-import functools
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="kinweave-")
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``. Where that is unset, one process (master ``local``) uses a temporary
-    folder of its machine; a cluster has no folder to share and raises."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = _own_folder()
-    return f"{base.rstrip('/')}/kinweave-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """``df`` written once as Parquet and read back: cuts the lineage, and a lost executor costs no recomputation."""
-    path = folder(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table of ``table()`` that nothing reads any more."""
-    path = getattr(df, "scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+__all__ = ["drop", "drop_since", "folder", "mark", "table"]

@@ -356,7 +356,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     equal min-wise hashes leaves out pairs far from the similarity; the others are decided by their sets of shingles.
     """
     marks = scratch.table(signatures(docs, words, id_col, text_col))
-    classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min(F.struct("fp", "bands", "sig")).alias("m")).select("cls", "least_id", "row", "m.*"))
     entries = classes.select("cls", F.explode("bands").alias("key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     multi = scratch.table(entries.join(sizes, "key"))
@@ -380,9 +380,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     further = scratch.table(_undecided(met, labels, classes, similarity, docs, words, id_col, text_col))
     joined = components(_star(further, "label", "rep_label")).select(F.col("fp").alias("label"), F.col("label").alias("joined"))
     labels = labels.unionByName(classes.join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label")))
-    grouped = classes.select("cls", "least_id").join(labels, "cls").join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
+    grouped = classes.select("cls", "fp", "least_id").join(labels, "cls").join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
     roots = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return marks.select("doc_id", "cls").join(grouped.select("cls", "label").join(roots, "label").select("cls", "component_id"), "cls").select("doc_id", "component_id")
+    of_class = grouped.select("cls", F.col("fp").alias("class_fp"), "label").join(roots, "label").select("cls", "class_fp", "component_id")
+    # Equal hashes of the words are trusted only with equal fingerprints; a text that fails that stands for itself.
+    return marks.select("doc_id", "cls", "fp").join(of_class, "cls").select("doc_id", F.when(F.col("fp") == F.col("class_fp"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -122,12 +122,16 @@ def brute_mix(rows, weights, block_rows):
 
 def test_whole_query(spark):
     """Every row of the query against a plain search for the earliest deadline of each slot."""
-    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "source", F.xxhash64("text").alias("h"))
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
     want = brute_mix([tuple(r) for r in docs.collect()], registry.SOURCE_WEIGHTS, 16)
     got = {(r["doc_id"], r["source"], r["number"], r["block"], r["slot"]) for r in registry.op6_mixing(spark, "/root/testdata/sf0.01").collect()}
     assert got == want and len(got) == docs.count()
 
 
+def test_query_against_sql(spark, duck, same):
+    same(spark, duck, registry.op6_mixing, registry.ORACLE_SQL["op6_mixing"])
+
+
 def test_query_keeps_all_rows(spark):
     got = registry.op6_mixing(spark, "/root/testdata/sf0.001").toPandas()
     assert len(got) == 200 and not got.duplicated(["source", "number"]).any()

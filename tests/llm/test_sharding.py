@@ -51,3 +51,7 @@ def test_empty_and_native(spark, documents):
     assert sharding.shard(documents([])).count() == 0
     plan = registry.op8_sharding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_query_against_sql(spark, duck, same):
+    same(spark, duck, registry.op8_sharding, registry.ORACLE_SQL["op8_sharding"])
