@@ -63,6 +63,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
+        place = scratch.mark()
         before, docs = docs, scratch.table(stage(spark, docs, sf_dir))
+        scratch.drop_since(spark, place, docs)  # what the stage's operator has left
         scratch.drop(before)
     return docs
