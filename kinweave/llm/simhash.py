@@ -147,18 +147,21 @@ def components(edges: DataFrame) -> DataFrame:
         scratch.drop(labels)
         if not changed:
             scratch.drop(edges)
-            return new.select("fp", "label")
         after = new.select("fp", "label")
         after.scratch_path = new.scratch_path
+        if not changed:
+            return after
         labels = after
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest id that the document reaches over links, itself included."""
     marks = scratch.table(fingerprints(docs, words, id_col, text_col))
+    place = scratch.mark()
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     edges = links(distinct.select("fp"), max_distance)
     labels = components(edges)
+    scratch.drop_since(docs.sparkSession, place, labels)
     grouped = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     roots = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_fp = grouped.select("fp", "label").join(roots, "label").select("fp", "component_id")
@@ -357,6 +360,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     """
     marks = scratch.table(signatures(docs, words, id_col, text_col))
     classes = scratch.table(marks.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min(F.struct("fp", "bands", "sig")).alias("m")).select("cls", "least_id", "row", "m.*"))
+    place = scratch.mark()
     entries = classes.select("cls", F.explode("bands").alias("key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     multi = scratch.table(entries.join(sizes, "key"))
@@ -378,7 +382,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     met = met.unionByName(near.join(classes.select("cls", "fp"), "fp").select(F.lit(1).alias("kind"), "key", "cls"))
     met = met.unionByName(classes.select("cls", "fp").join(shared, "fp").select(F.lit(2).alias("kind"), F.col("fp").alias("key"), "cls"))
     further = scratch.table(_undecided(met, labels, classes, similarity, docs, words, id_col, text_col))
-    joined = components(_star(further, "label", "rep_label")).select(F.col("fp").alias("label"), F.col("label").alias("joined"))
+    joined = components(_star(further, "label", "rep_label"))
+    scratch.drop_since(docs.sparkSession, place, labels, joined)
+    joined = joined.select(F.col("fp").alias("label"), F.col("label").alias("joined"))
     labels = labels.unionByName(classes.join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label")))
     grouped = classes.select("cls", "fp", "least_id").join(labels, "cls").join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label"))
     roots = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
