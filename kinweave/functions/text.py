@@ -49,7 +49,7 @@ OTHER_SCRIPT = r"[^\x{0}-\x{24F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}]"
 
 def transliterate(x: Column) -> Column:
     """As ``fold_latin``, and other scripts by the sounds of their letters; both in the JVM."""
-    return F.when(x.rlike(OTHER_SCRIPT), fold_latin(romanised(x))).otherwise(fold_latin(x))
+    return fold_latin(F.when(x.rlike(OTHER_SCRIPT), romanised(x)).otherwise(x))
 
 
 def basic_clean(x: Column, scripts: str = "all") -> Column:

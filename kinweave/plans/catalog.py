@@ -737,7 +737,7 @@ near as (select * from cross_ where abs(length(x) - length(y)) <= 2 and levensht
 variants as (select country, least(x, y) as x, greatest(x, y) as y, count(*) as n from near group by 1, 2, 3)"""
 _RULED = """, df as (select country, term, count(*) as df from (select country, unnest(list_concat(a, b)) as term from same) group by all),
 ruled as (select v.country, case when coalesce(dx.df, 0) >= coalesce(dy.df, 0) then y else x end as variant, case when coalesce(dx.df, 0) >= coalesce(dy.df, 0) then x else y end as canonical, n
-  from variants v left join df dx on dx.country = v.country and dx.term = x left join df dy on dy.country = v.country and dy.term = y where n >= 2),
+  from variants v left join df dx on dx.country = v.country and dx.term = x left join df dy on dy.country = v.country and dy.term = y where n >= 1),
 rules as (select country, variant, canonical, n from (select *, row_number() over (partition by country, variant order by n desc, canonical) as place from ruled where length(variant) >= 4 and length(canonical) >= 4) where place = 1)"""
 
 
@@ -758,7 +758,7 @@ def variant_pairs(spark, d):
 @query(_LINKED + _RULED + " select * from rules")
 def canonical_map(spark, d):
     linked = _first_word_links(spark, d)
-    return mining.canonical_map(mining.variant_pairs(linked, sounds=False), mining.side_frequency(linked), least_n=2)
+    return mining.canonical_map(mining.variant_pairs(linked, sounds=False), mining.side_frequency(linked), least_n=1)
 
 
 @query(_LINKED + f", sound as (select country, least(x, y) as x, greatest(x, y) as y, count(*) as n from near where {O.soundex('x')} = {O.soundex('y')} group by 1, 2, 3) select * from sound")
@@ -770,7 +770,7 @@ def variant_pairs_sounding(spark, d):
 def block_keys_mined(spark, d):
     """Keys of records whose tokens are mapped by mined spellings."""
     linked = _first_word_links(spark, d)
-    rules = staging.table(mining.canonical_map(mining.variant_pairs(linked, sounds=False), mining.side_frequency(linked), least_n=2))
+    rules = staging.table(mining.canonical_map(mining.variant_pairs(linked, sounds=False), mining.side_frequency(linked), least_n=1))
     return blocking.keys_v2(blocking.key_parts(doc(spark, d), rules=rules), phonetic=False).select("entity_id", F.col("key_ord").cast("long").alias("key_ord"), "kind", "key", "weight")
 
 

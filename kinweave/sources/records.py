@@ -68,6 +68,13 @@ def union_dedupe(*sources: DataFrame) -> DataFrame:
     return union_targets(*sources).groupBy("entity_id").agg(F.min(F.struct("business_name", "business_address", "country")).alias("r")).select("entity_id", "r.*")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan, dealt to as many tasks as can run where its files have fewer splits: what follows costs far more
+    than moving them. ``rows`` holds no shuffle, so asking for its partitions starts no job."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+
+
 def _entity_id(key: str) -> Column:
     return F.concat(F.lit("S"), (1 + F.col(key) % 3).cast("string"), F.lit("-"), F.lpad(F.col(key).cast("string"), 7, "0"))
 
@@ -77,7 +84,7 @@ def entity_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     address = F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"), F.lit(" Road, "), (10000 + F.col("p_partkey") % 50).cast("string"))
     country = F.when(F.col("p_size") % 3 == 0, "US").when(F.col("p_size") % 3 == 1, "India").otherwise("France")
-    return p.select(_entity_id("p_partkey").alias("entity_id"), F.col("p_name").alias("business_name"), address.alias("business_address"), country.alias("country"))
+    return spread(p.select(_entity_id("p_partkey").alias("entity_id"), F.col("p_name").alias("business_name"), address.alias("business_address"), country.alias("country")))
 
 
 def entity_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +93,7 @@ def entity_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = F.substring(F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1)), 1, 60)
     address = F.when(F.col("doc_id") % 29 == 0, None).otherwise(F.concat((F.col("n_chars") % 1000).cast("string"), F.lit(" "), F.col("source"), F.lit(" Street, "), (10000 + F.col("n_chars") % 500).cast("string")))
-    return d.select(_entity_id("doc_id").alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.col("lang").alias("country"))
+    return spread(d.select(_entity_id("doc_id").alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.col("lang").alias("country")))
 
 
 def truth_part(records: DataFrame) -> DataFrame:
