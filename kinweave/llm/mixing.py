@@ -35,7 +35,7 @@ from . import scratch
 
 #: Rows of a numbering bucket, about; most bucket offsets that are broadcast; most slots of a cycle that is looked up (and
 #: broadcast, 24 bytes each); blocks of a longer one that are written at a time; sources whose shares are broadcast.
-BUCKET_ROWS, BROADCAST_BUCKETS, LOOKUP, CHUNK, BROADCAST_SOURCES = 20_000, 200_000, 100_000, 500_000, 100_000
+BUCKET_ROWS, BROADCAST_BUCKETS, LOOKUP, CHUNK, BROADCAST_SOURCES = 2_000, 200_000, 100_000, 500_000, 100_000
 #: No block has a number so large.
 LONG = 2**62
 
