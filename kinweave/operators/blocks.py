@@ -19,12 +19,13 @@ from ..sources import staging
 BLOCK, PIECE, APART, BATCH = 8192, 1000, 4, 20_000
 TARGET, LIST, QUERY = 0, 1, 2
 PAIR = "s1_id string, cand_id string, score double, first_ord int, boost double, rank int, best_key double"
-FOLDED = "ids array<string>, " + PAIR
+FOLDED = "ids array<string>, s1_id string, cand_id string, score double, rank int"
+COSINE = "s1_id string, cand_id string, cosine double"
 RERANKED = "s1_id string, cand_id string, score double, first_ord int, boost double, best_key double, cosine double, fuzzy_name double, fuzzy_addr double, key_share double, final double, rank int"
 _EMPTY = {"id": "string", "no": "bigint", "key": "string", "n_key": "bigint", "nos": "array<bigint>", "postal": "string", "street_no": "string", "print_addr": "array<string>", "words": "array<string>", "ws": "array<double>", "norm": "double", "name": "string", "addr": "string", "ids": "array<string>", "keys": "array<struct<ord:int,key:string,weight:double,n:bigint>>"}
 
 
-def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame], posting: Callable[[DataFrame], DataFrame], run: Callable, schema: str, terms: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame], posting: Callable[[DataFrame], DataFrame], run: Callable, schema: str, terms: Callable[[DataFrame], DataFrame] | None = None, apart: int = APART) -> DataFrame:
     """``run`` (see ``_blocks``) over the blocks of queries. ``q`` and ``t`` are key parts; ``keys`` gives their keys, ``posting``
     the targets' lists as they are used; ``terms`` the weighted terms of parts, for which the texts go along too."""
     c = F.col
@@ -44,7 +45,7 @@ def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame],
         t = t.join(texts(t).select("entity_id", "name", "addr", "words", "ws", "norm"), "entity_id")
         facts = [*facts, "name", "addr", "words", "ws", "norm"]
     # The terms of equal names and addresses are equal, but for their order and so their norms' last digits.
-    same = ["country", "keys", *[f for f in facts if f not in ("words", "ws", "norm")], F.pmod(F.xxhash64("entity_id"), F.lit(APART)).alias("apart")]
+    same = ["country", "keys", *[f for f in facts if f not in ("words", "ws", "norm")], F.pmod(F.xxhash64("entity_id"), F.lit(apart)).alias("apart")]
     folded = asked.join(own, "entity_id").groupBy(*same).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"), *[F.first(f).alias(f) for f in facts if f in ("words", "ws", "norm")])
     counts = F.broadcast(q.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))  # a row for each country
     block = F.concat_ws("/", "country", F.pmod(F.xxhash64(c("street_no"), c("postal"), c("apart")), c("blocks")).cast("string"))
@@ -62,7 +63,7 @@ def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame],
 
 def _blocks(run: Callable, schema: str) -> Callable:
     """For mapInArrow, over rows by block: its targets, its lists, its queries. ``run`` gets a block and a query and gives its
-    columns but s1_id, as arrays, with cand_id as places of the block's targets; [] columns of no pair are left out."""
+    columns but s1_id, as arrays, with cand_id as places of the block's targets. With ids, equal queries stay one."""
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
 
     def each(batches: Iterator) -> Iterator:

@@ -32,8 +32,7 @@ class Candidates:
             return blocking.block_v1(s1, targets, self.cap, self.k, self.policy, self.scripts).select("s1_id", "cand_id", "rank", "score")
         # Both sides' key parts are stored: keys, boosts, terms and texts are all made of them.
         q, t = (staging.table(blocking.key_parts(x, self.scripts, self.rules)) for x in (s1, targets))
-        over = blocking.block_v2(q, t, self.overgenerate, self.caps)
-        return blocking.rerank(over, q, t, self.k).select("s1_id", "cand_id", "rank", F.col("final").alias("score"))
+        return blocking.block_rerank(q, t, self.k, self.overgenerate, self.caps).select("s1_id", "cand_id", "rank", F.col("final").alias("score"))
 
     def told(self) -> dict:
         return {k: v for k, v in vars(self).items() if k != "rules"} | {"rules": self.rules is not None}

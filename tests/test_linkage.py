@@ -122,6 +122,27 @@ def test_blocks_give_what_a_join_gives(spark, monkeypatch):
     assert all(got[x] == pytest.approx(want[x]) for x in want)
 
 
+def crowd(spark):
+    names = ["zulu alpha mills", "zulu beta mills", "yankee alpha works", "zulu zulu gamma"]
+    rows = lambda who, n, step: recs(spark, [(f"{who}-{i:02d}", names[i * step % 4], None if i % 6 == 5 else f"{i % 5} Oak Road, {10000 + i % 3}", "US") for i in range(n)])
+    return blocking.key_parts(rows("S1", 12, 1)), blocking.key_parts(rows("S2", 30, 3))
+
+
+def _above(df):
+    return df._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
+
+
+def test_reranking_in_blocks(spark):
+    """The same rows as ``rerank`` over all pairs, texts that can't reach the first ones left out; no pair is shuffled."""
+    q, t = crowd(spark)
+    mine = blocking.block_rerank(q, t, 4, 20)
+    above, _, below = _above(mine)
+    assert below and not any(x in above for x in ("Exchange", "Window", "Aggregate", "Join"))
+    columns = sorted(mine.columns)
+    got, want = ({(r["s1_id"], r["cand_id"]): [r[c] for c in columns if c not in ("s1_id", "cand_id")] for r in x.collect()} for x in (mine, blocking.rerank(blocking.block_v2(q, t, 20), q, t, 4)))
+    assert len(want) == 48 and set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
 def test_features(spark):
     s1 = recs(spark, [("S1-1", "International Business Machines Corp", "1 New Orchard Road, Armonk, NY 10504", "US")])
     t = recs(spark, [("S2-1", "IBM Corporation", "1 New Orchard Rd, Armonk, New York 10504", "US"), ("S3-2", "Acme Bakery LLC", "99 Main St, Austin, TX", "US"), ("S2-3", None, None, None)])
