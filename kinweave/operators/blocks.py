@@ -25,9 +25,10 @@ RERANKED = "s1_id string, cand_id string, score double, first_ord int, boost dou
 _EMPTY = {"id": "string", "no": "bigint", "key": "string", "n_key": "bigint", "nos": "array<bigint>", "postal": "string", "street_no": "string", "print_addr": "array<string>", "words": "array<string>", "ws": "array<double>", "norm": "double", "name": "string", "addr": "string", "ids": "array<string>", "keys": "array<struct<ord:int,key:string,weight:double,n:bigint>>"}
 
 
-def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame], posting: Callable[[DataFrame], DataFrame], run: Callable, schema: str, terms: Callable[[DataFrame], DataFrame] | None = None, apart: int = APART) -> DataFrame:
+def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame], posting: Callable[[DataFrame], DataFrame], run: Callable, schema: str, terms: Callable[[DataFrame], DataFrame] | None = None, apart: int = APART, told: DataFrame | None = None) -> DataFrame:
     """``run`` (see ``_blocks``) over the blocks of queries. ``q`` and ``t`` are key parts; ``keys`` gives their keys, ``posting``
-    the targets' lists as they are used; ``terms`` the weighted terms of parts, for which the texts go along too."""
+    the targets' lists as they are used; ``terms`` the weighted terms of parts, for which the texts go along too;
+    ``told`` (entity_id, ...) what equal queries share besides their keys and facts."""
     c = F.col
     # Targets are numbered in the order of their ids, in which ties are broken.
     ids = t.select("entity_id").distinct().orderBy("entity_id").withColumn("no", F.monotonically_increasing_id())
@@ -44,12 +45,14 @@ def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame],
         own = own.join(texts(q).select("entity_id", "name", "addr", "words", "ws", "norm"), "entity_id")
         t = t.join(texts(t).select("entity_id", "name", "addr", "words", "ws", "norm"), "entity_id")
         facts = [*facts, "name", "addr", "words", "ws", "norm"]
+    more = [x for x in told.columns if x != "entity_id"] if told else []
+    own = own.join(told, "entity_id") if told else own
     # The terms of equal names and addresses are equal, but for their order and so their norms' last digits.
-    same = ["country", "keys", *[f for f in facts if f not in ("words", "ws", "norm")], F.pmod(F.xxhash64("entity_id"), F.lit(apart)).alias("apart")]
+    same = ["country", "keys", *more, *[f for f in facts if f not in ("words", "ws", "norm")], F.pmod(F.xxhash64("entity_id"), F.lit(apart)).alias("apart")]
     folded = asked.join(own, "entity_id").groupBy(*same).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"), *[F.first(f).alias(f) for f in facts if f in ("words", "ws", "norm")])
     counts = F.broadcast(q.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))  # a row for each country
     block = F.concat_ws("/", "country", F.pmod(F.xxhash64(c("street_no"), c("postal"), c("apart")), c("blocks")).cast("string"))
-    folded = staging.table(folded.join(counts, "country").withColumn("block", block).drop("country", "blocks", "apart"))
+    folded = staging.table(folded.join(counts, "country").withColumn("block", block).drop("country", "blocks", "apart", *more))
     shipped = staging.table(folded.select("block", F.explode("keys.key").alias("key")).distinct().join(lists, "key").select("block", "key", "n_key", "nos"))
     touched = shipped.select("block", F.explode("nos").alias("no")).distinct().join(t.select("no", c("entity_id").alias("id"), *facts), "no")
 

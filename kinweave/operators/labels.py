@@ -29,6 +29,7 @@ def hard_negatives(labelled: DataFrame, n: int, by: str = "name_jw") -> DataFram
 
 
 def class_weight(labelled: DataFrame) -> DataFrame:
-    """positives, negatives, scale_pos_weight = max(1, negatives / max(positives, 1))."""
-    counts = labelled.agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
+    """positives, negatives, scale_pos_weight = max(1, negatives / max(positives, 1)); a row counts ``times`` where it has them."""
+    times = F.col("times") if "times" in labelled.columns else F.lit(1)
+    counts = labelled.agg(*[F.coalesce(F.sum(F.when(F.col("label") == x, times)), F.lit(0)).alias(n) for x, n in ((1, "positives"), (0, "negatives"))])
     return counts.withColumn("scale_pos_weight", F.greatest(F.lit(1.0), F.col("negatives") / F.greatest("positives", F.lit(1))))

@@ -95,14 +95,16 @@ def _forest(p: Preset, seed: int) -> RandomForestClassifier:
 
 
 def weighted(labelled: DataFrame) -> DataFrame:
-    """kw_weight: positives weigh as much as there are more negatives."""
+    """kw_weight: positives weigh as much as there are more negatives; a row that stands for several (``times``) as much as they."""
     w = class_weight(labelled).first()["scale_pos_weight"]  # one number
-    return labelled.withColumn("kw_weight", F.when(F.col("label") == 1, w).otherwise(1.0))
+    rows = labelled if "times" in labelled.columns else labelled.withColumn("times", F.lit(1))
+    return rows.withColumn("times", F.col("times").cast("double")).withColumn("kw_weight", F.when(F.col("label") == 1, w).otherwise(1.0) * F.col("times"))
 
 
 def train(labelled: DataFrame, columns: list[str], preset: Preset, seed: int = 42) -> Matcher:
-    """``labelled``: s1_id, cand_id, label and ``columns``. Folds are by entity, so no entity is on both sides of one."""
-    rows = weighted(labelled).persist()
+    """``labelled``: s1_id, cand_id, label and ``columns``; with ``times``, the number of equal rows that a row stands for.
+    Folds are by entity, so no entity is on both sides of one."""
+    rows = weighted(labelled).select("s1_id", "label", "times", "kw_weight", *columns).persist()
     try:
         boosted = _pipeline(columns, _boosted(preset, seed), rows)
         if not preset.forest:
@@ -112,9 +114,9 @@ def train(labelled: DataFrame, columns: list[str], preset: Preset, seed: int = 4
         out = None
         for k in range(preset.folds):
             inside, outside = folded.filter(F.col("kw_fold") != k), folded.filter(F.col("kw_fold") == k)
-            part = _scored(_pipeline(columns, _forest(preset, seed), inside), _scored(_pipeline(columns, _boosted(preset, seed), inside), outside, "p_boosted"), "p_forest").select("label", "p_boosted", "p_forest")
+            part = _scored(_pipeline(columns, _forest(preset, seed), inside), _scored(_pipeline(columns, _boosted(preset, seed), inside), outside, "p_boosted"), "p_forest").select("label", "times", "p_boosted", "p_forest")
             out = part if out is None else out.unionByName(part)
-        meta = _pipeline(["p_boosted", "p_forest"], LogisticRegression(featuresCol="kw_features", labelCol="label", regParam=1e-4, maxIter=100), out)
+        meta = _pipeline(["p_boosted", "p_forest"], LogisticRegression(featuresCol="kw_features", labelCol="label", weightCol="times", regParam=1e-4, maxIter=100), out)
         return Matcher(columns, boosted, forest, meta)
     finally:
         rows.unpersist()

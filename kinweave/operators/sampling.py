@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_order(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(id_col), F.lit(f":{seed}")))
+def hash_order(id_col: str | Column, seed: int) -> Column:
+    return F.md5(F.concat(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit(f":{seed}")))
 
 
 def sample_n(rows: DataFrame, n: int, id_col: str = "entity_id", seed: int = 42) -> DataFrame:
@@ -41,7 +41,7 @@ def stratified_split(entities: DataFrame, val_size: int, seed: int = 42, most: f
     return entities.withColumn("place", place).join(F.broadcast(quotas), ["country", "is_singleton"]).withColumn("split", F.when(F.col("place") <= F.col("quota"), "val").otherwise("train")).drop("place", "quota")
 
 
-def fold(id_col: str, folds: int, seed: int = 42) -> Column:
+def fold(id_col: str | Column, folds: int, seed: int = 42) -> Column:
     """All rows of an id are in one fold; the folds are about equal."""
     return F.conv(F.substring(hash_order(id_col, seed), 1, 8), 16, 10).cast("long") % folds
 

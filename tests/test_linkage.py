@@ -161,6 +161,23 @@ def test_boosted_pairs_are_not_shuffled(spark):
     assert below and not any(x in above for x in ("Exchange", "Window", "Aggregate", "Join"))
 
 
+def test_equal_records_are_one_row_of_their_number(spark, tmp_path):
+    """Copies of S1 records add no rows to what is trained on, but each counts; held-out pairs and labels are those of all pairs."""
+    from kinweave.plans import catalog
+
+    p = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(20)
+    p.crossJoin(spark.range(12).withColumnRenamed("id", "k")).withColumn("p_partkey", F.col("p_partkey") + 50 * F.col("k")).drop("k").write.parquet(str(tmp_path / "part.parquet"))
+    inside, outside = catalog._split_rows(spark, str(tmp_path))
+    s1, t = R.split_sources(catalog.part(spark, str(tmp_path)))
+    pairs = labels.label(blocking.block_v1(s1, t, 300, 35, "truncate"), R.truth_part(catalog.part(spark, str(tmp_path))))
+    want = {(r["s1_id"], r["cand_id"], r["label"], r["rank"]) for r in sampling.grouped_holdout(pairs, percent=30).filter("held_out").collect()}
+    assert {(r["s1_id"], r["cand_id"], r["label"], int(r["cand_rank"])) for r in outside.collect()} == want and outside.count() == len(want)
+    rows = sampling.grouped_holdout(pairs, percent=30).filter("not held_out")
+    n, told = rows.count(), inside.agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("label")).alias("yes"), F.sum(F.col("times") * F.col("cand_rank")).alias("ranks")).first()
+    assert (told["n"], told["yes"], told["ranks"]) == (n, rows.filter("label = 1").count(), rows.agg(F.sum("rank")).first()[0]) and inside.count() < n
+    assert labels.class_weight(inside).first() == labels.class_weight(rows).first()
+
+
 def test_features(spark):
     s1 = recs(spark, [("S1-1", "International Business Machines Corp", "1 New Orchard Road, Armonk, NY 10504", "US")])
     t = recs(spark, [("S2-1", "IBM Corporation", "1 New Orchard Rd, Armonk, New York 10504", "US"), ("S3-2", "Acme Bakery LLC", "99 Main St, Austin, TX", "US"), ("S2-3", None, None, None)])
