@@ -13,22 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import staging
+from .features import OF_ADDRESSES, OF_NAMES, address_shape, address_values, name_shape, name_values
 
-# Queries a block; entries of a row that carries a part of a list; rows of equal queries that are folded apart,
-# so that many copies spread; pairs a batch that goes back.
-BLOCK, PIECE, APART, BATCH = 8192, 1000, 4, 20_000
+# Queries a block; entries of a row that carries a part of a list; rows that carry a block's targets (a row on
+# its way to Python costs far more than an entry); rows of equal queries that are folded apart, so that many copies spread;
+# pairs a batch that goes back.
+BLOCK, PIECE, PACKS, APART, BATCH = 8192, 1000, 512, 4, 20_000
 TARGET, LIST, QUERY = 0, 1, 2
 PAIR = "s1_id string, cand_id string, score double, first_ord int, boost double, rank int, best_key double"
-FOLDED = "ids array<string>, s1_id string, cand_id string, score double, rank int"
 COSINE = "s1_id string, cand_id string, cosine double"
 RERANKED = "s1_id string, cand_id string, score double, first_ord int, boost double, best_key double, cosine double, fuzzy_name double, fuzzy_addr double, key_share double, final double, rank int"
 _EMPTY = {"id": "string", "no": "bigint", "key": "string", "n_key": "bigint", "nos": "array<bigint>", "postal": "string", "street_no": "string", "print_addr": "array<string>", "words": "array<string>", "ws": "array<double>", "norm": "double", "name": "string", "addr": "string", "ids": "array<string>", "keys": "array<struct<ord:int,key:string,weight:double,n:bigint>>"}
+_TARGET = ["id", "no", "postal", "street_no", "print_addr", "words", "ws", "norm", "name", "addr"]
+_SHOWN = {"rep": "struct<name:string,acronym:string,addr:string>", "owner": "string"}
 
 
 def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame], posting: Callable[[DataFrame], DataFrame], run: Callable, schema: str, terms: Callable[[DataFrame], DataFrame] | None = None, apart: int = APART, told: DataFrame | None = None) -> DataFrame:
     """``run`` (see ``_blocks``) over the blocks of queries. ``q`` and ``t`` are key parts; ``keys`` gives their keys, ``posting``
     the targets' lists as they are used; ``terms`` the weighted terms of parts, for which the texts go along too;
-    ``told`` (entity_id, ...) what equal queries share besides their keys and facts."""
+    ``told`` (entity_id, ...) what equal queries share besides their keys and facts. Parts with rep bring it along, and owner
+    of targets, for ``Block.features``; ``told`` then has the texts that rep is made of."""
     c = F.col
     # Targets are numbered in the order of their ids, in which ties are broken.
     ids = t.select("entity_id").distinct().orderBy("entity_id").withColumn("no", F.monotonically_increasing_id())
@@ -40,27 +44,34 @@ def retrieve(q: DataFrame, t: DataFrame, keys: Callable[[DataFrame], DataFrame],
     facts = ["postal", "street_no", "print_addr"]
     asked = keys(q).join(sizes, "country").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct(c("key_ord").alias("ord"), "key", "weight", "n"))).alias("keys"))
     texts = lambda p: p.select("entity_id", c("clean").alias("name"), F.array_join("addr_tokens", " ").alias("addr")).join(terms(p).select("entity_id", c("terms.term").alias("words"), c("terms.w").alias("ws"), "norm"), "entity_id", "left")
-    own = q.select("entity_id", "country", *facts)
+    shown = _SHOWN if "rep" in q.columns else {}
+    own = q.select("entity_id", "country", *facts, *[x for x in shown if x in q.columns])
     if terms:
         own = own.join(texts(q).select("entity_id", "name", "addr", "words", "ws", "norm"), "entity_id")
         t = t.join(texts(t).select("entity_id", "name", "addr", "words", "ws", "norm"), "entity_id")
         facts = [*facts, "name", "addr", "words", "ws", "norm"]
     more = [x for x in told.columns if x != "entity_id"] if told else []
     own = own.join(told, "entity_id") if told else own
+    derived = ("words", "ws", "norm", "rep")
     # The terms of equal names and addresses are equal, but for their order and so their norms' last digits.
-    same = ["country", "keys", *more, *[f for f in facts if f not in ("words", "ws", "norm")], F.pmod(F.xxhash64("entity_id"), F.lit(apart)).alias("apart")]
-    folded = asked.join(own, "entity_id").groupBy(*same).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"), *[F.first(f).alias(f) for f in facts if f in ("words", "ws", "norm")])
+    same = ["country", "keys", *more, *[f for f in facts if f not in derived], F.pmod(F.xxhash64("entity_id"), F.lit(apart)).alias("apart")]
+    folded = asked.join(own, "entity_id").groupBy(*same).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"), *[F.first(f).alias(f) for f in own.columns if f in derived])
     counts = F.broadcast(q.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))  # a row for each country
     block = F.concat_ws("/", "country", F.pmod(F.xxhash64(c("street_no"), c("postal"), c("apart")), c("blocks")).cast("string"))
     folded = staging.table(folded.join(counts, "country").withColumn("block", block).drop("country", "blocks", "apart", *more))
     shipped = staging.table(folded.select("block", F.explode("keys.key").alias("key")).distinct().join(lists, "key").select("block", "key", "n_key", "nos"))
-    touched = shipped.select("block", F.explode("nos").alias("no")).distinct().join(t.select("no", c("entity_id").alias("id"), *facts), "no")
+    touched = shipped.select("block", F.explode("nos").alias("no")).distinct().join(t.select("no", c("entity_id").alias("id"), *facts, *shown), "no")
+    typed = lambda df, kinds: [c(x) if x in df.columns else F.lit(None).cast(kind).alias(x) for x, kind in kinds.items()]
+    each = {x: _EMPTY[x] for x in _TARGET} | shown
+    n = max(1, folded.select("block").distinct().count())
+    dealt = touched.repartition(max(2 * n, 2), "block").withColumn("pack", F.pmod(F.xxhash64("no"), F.lit(PACKS)))
+    packed = dealt.groupBy("block", "pack").agg(F.collect_list(F.struct(*typed(touched, each))).alias("targets"))
+    carried = _EMPTY | shown | {"targets": f"array<struct<{','.join(f'{x}:{kind}' for x, kind in each.items())}>>"}
 
     def rows(df: DataFrame, what: int) -> DataFrame:
-        return df.select("block", F.lit(what).alias("what"), *[c(x) if x in df.columns else F.lit(None).cast(kind).alias(x) for x, kind in _EMPTY.items()])
+        return df.select("block", F.lit(what).alias("what"), *typed(df, carried))
 
-    n = max(1, folded.select("block").distinct().count())
-    every = rows(touched, TARGET).unionByName(rows(shipped, LIST)).unionByName(rows(folded, QUERY))
+    every = rows(packed, TARGET).unionByName(rows(shipped, LIST)).unionByName(rows(folded, QUERY))
     return every.repartition(max(2 * n, 2), "block").sortWithinPartitions("block", "what").mapInArrow(_blocks(run, schema), schema)
 
 
@@ -86,6 +97,9 @@ def _blocks(run: Callable, schema: str) -> Callable:
                 columns["s1_id"] = pa.array([ids[0] for ids, _ in waiting], pa.string()).take(pa.array(np.repeat(np.arange(len(flat)), sizes)))
             else:
                 columns["s1_id"] = who.take(pa.array(np.repeat(np.arange(len(flat)), sizes)))
+            if "values" in flat[0]:
+                columns |= dict(zip(names[-flat[0]["values"].shape[1] :], map(pa.array, np.concatenate([f["values"] for f in flat]).T.copy())))
+                columns["owner"] = block.owner.take(pa.array(np.concatenate([f["cand_id"] for f in flat])))
             for x in names:
                 if x not in columns:
                     values = np.concatenate([f[x] for f in flat])
@@ -109,7 +123,7 @@ def _blocks(run: Callable, schema: str) -> Callable:
                     block.add(whats[at], part)
                 else:
                     block.ready()
-                    for row in part.select(["ids", "keys", "postal", "street_no", "print_addr", "words", "ws", "norm", "name", "addr"]).to_pylist():
+                    for row in part.select(["ids", "keys", "postal", "street_no", "print_addr", "words", "ws", "norm", "name", "addr", *[x for x in part.schema.names if x == "rep"]]).to_pylist():
                         found = run(block, row)
                         if not len(found["cand_id"]):
                             continue
@@ -135,8 +149,10 @@ class Block:
         self.tag, self.targets, self.pieces, self.lists = tag, [], {}, None
 
     def add(self, what: int, part) -> None:
+        import pyarrow as pa
+
         if what == TARGET:
-            self.targets.append(part.select(["id", "no", "postal", "street_no", "print_addr", "words", "ws", "norm", "name", "addr"]))
+            self.targets.append(pa.RecordBatch.from_struct_array(part.column("targets").flatten()))
             return
         nos = part.column("nos")
         values, ends = nos.flatten().to_numpy(zero_copy_only=False), nos.value_lengths().to_numpy(zero_copy_only=False).cumsum()
@@ -184,6 +200,13 @@ class Block:
         self.sum, self.first = np.zeros(len(self.numbers)), np.zeros(len(self.numbers), np.int32)
         self.wanted, self.weight = np.zeros(len(self.codes["print"]) + 1, np.int8), np.zeros(len(self.codes["word"]) + 1)
         self.known: dict = {}
+        if "rep" in table.column_names:
+            self.owner, rep = column("owner"), column("rep")
+            names, addresses = (rep.field(x).dictionary_encode() for x in ("name", "addr"))
+            short = dict(zip(names.indices.to_pylist(), rep.field("acronym").to_pylist()))  # a name has one
+            shapes = [name_shape(x, short[i]) for i, x in enumerate(names.dictionary.to_pylist())], list(map(address_shape, addresses.dictionary.to_pylist()))
+            self.shown = [(x.indices.to_numpy(zero_copy_only=False), y) for x, y in zip((names, addresses), shapes)]
+            self.is_s2 = pc.starts_with(self.ids, "S2-").to_numpy(zero_copy_only=False)
 
     @staticmethod
     def _lists(x):
@@ -269,6 +292,29 @@ class Block:
             values.append(v)
         return np.array(values, dtype=float)[back]
 
+    def features(self, row: dict, rows, score):
+        """A row of features for each of ``rows``, in the order of ``IN_BLOCKS``; texts are compared once in the block."""
+        import numpy as np
+
+        mine = name_shape(row["rep"]["name"], row["rep"]["acronym"]), address_shape(row["rep"]["addr"])
+        columns = []
+        for kind, ((coded, shapes), a, of, width) in enumerate(zip(self.shown, mine, (name_values, address_values), (len(OF_NAMES), len(OF_ADDRESSES)))):
+            codes, back = np.unique(coded[rows], return_inverse=True)
+            if len(self.known) > 200_000:
+                self.known.clear()
+            known, values = self.known, []
+            for i in codes.tolist():
+                v = known.get((kind, a[0], i))
+                if v is None:
+                    v = known[kind, a[0], i] = of(a, shapes[i])
+                values.append(v)
+            columns.append(np.array(values, dtype=float).reshape(-1, width)[back])
+        for x in ("postal", "street_no"):
+            there = (getattr(self, x)[rows] >= 0) & (row[x] is not None)
+            same = there & (getattr(self, x)[rows] == self.codes[x].get(row[x], -2))
+            columns += [np.where(same, 1.0, -1.0) * there, there, there & ~same]
+        return np.column_stack([*columns, self.is_s2[rows], np.arange(len(rows)), score]).astype(float)
+
 
 def first_places(k: int, score, *ties):
     """Places of the ``k`` largest scores, ties to the smaller of ``ties``, in order; exact however many are equal."""

@@ -178,6 +178,37 @@ def test_equal_records_are_one_row_of_their_number(spark, tmp_path):
     assert labels.class_weight(inside).first() == labels.class_weight(rows).first()
 
 
+def test_features_in_blocks(spark):
+    """The values of ``features`` over the pairs of ``block_v1``, made without a shuffle, join or second crossing to Python."""
+    odd = [("Zoé Bäckerei & Söhne GmbH", "1 Rue de l'Été, 75008 Paris"), ("International Business Machines", "1 New Orchard Road, Armonk 10504"), ("IBM", "1 New Orchard Rd, Armonk 10504"), ("IBM Corp", None), ("", "5 Hill Road, 10504"), (None, "1 New Orchard Road"), ("Москва Щукин", "9 Улица, 10504"), ("aaa aaa", "aaa 5"), ("a b", "")]
+    p = R.entity_part(spark, "/root/testdata/sf0.001").select("business_name", "business_address").limit(40).collect()
+    both = [*odd, *map(tuple, p)]
+    q = recs(spark, [(f"S1-{i:03d}", *x, "US") for i, x in enumerate(both)])
+    t = recs(spark, [(f"S{2 + i % 2}-{i:03d}", *x, "US") for i, x in enumerate(both)])
+    mine = blocking.featured_v1(q, t, 300, 12, "truncate", owners=spark.createDataFrame([("S2-000", "S1-000")], "entity_id string, owner string"))
+    above, _, below = _above(mine)
+    assert below and not any(x in above for x in ("Exchange", "Window", "Aggregate", "Join", "ArrowEvalPython"))
+    got = {(i, r["cand_id"]): r for r in mine.collect() for i in r["ids"]}
+    want = {(r["s1_id"], r["cand_id"]): r for r in features.features(blocking.block_v1(q, t, 300, 12, "truncate"), represent(q), represent(t)).collect()}
+    assert len(want) > 300 and set(got) == set(want) and {r["owner"] for x, r in got.items() if x[1] == "S2-000"} == {"S1-000"}
+    assert all(got[x][f] == want[x][f] for x in want for f in features.BASE_FEATURES)
+
+
+def test_edits():
+    from kinweave.functions import similarity as S
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = ["", "a", "ab", "ba", "kitten", "sitting", "aaaa", "aabaa", "été été", "москва 12", "x" * 70, "x" * 40 + "y" * 40]
+    assert all(S.levenshtein(a, b) == plain(a, b) for a in words for b in words)
+
+
 def test_features(spark):
     s1 = recs(spark, [("S1-1", "International Business Machines Corp", "1 New Orchard Road, Armonk, NY 10504", "US")])
     t = recs(spark, [("S2-1", "IBM Corporation", "1 New Orchard Rd, Armonk, New York 10504", "US"), ("S3-2", "Acme Bakery LLC", "99 Main St, Austin, TX", "US"), ("S2-3", None, None, None)])
