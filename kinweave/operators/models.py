@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import staging
 from .labels import class_weight
 from .sampling import fold
 
@@ -104,22 +105,27 @@ def weighted(labelled: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, columns: list[str], preset: Preset, seed: int = 42) -> Matcher:
     """``labelled``: s1_id, cand_id, label and ``columns``; with ``times``, the number of equal rows that a row stands for.
     Folds are by entity, so no entity is on both sides of one."""
-    rows = weighted(labelled).select("s1_id", "label", "times", "kw_weight", *columns).persist()
+    known = [x for x in ("s1_id", "label", "times") if x in labelled.columns]
+    stored = labelled.select(*known, *columns)
+    # Trees read their rows a few times, so these are a table, not a cache beside the trees' own.
+    stored = staging.table(stored.withColumn("kw_fold", fold("s1_id", preset.folds, seed)) if preset.forest else stored)
     try:
+        rows = weighted(stored)
         boosted = _pipeline(columns, _boosted(preset, seed), rows)
         if not preset.forest:
             return Matcher(columns, boosted)
         forest = _pipeline(columns, _forest(preset, seed), rows)
-        folded = rows.withColumn("kw_fold", fold("s1_id", preset.folds, seed))
         out = None
         for k in range(preset.folds):
-            inside, outside = folded.filter(F.col("kw_fold") != k), folded.filter(F.col("kw_fold") == k)
+            inside, outside = rows.filter(F.col("kw_fold") != k), rows.filter(F.col("kw_fold") == k)
             part = _scored(_pipeline(columns, _forest(preset, seed), inside), _scored(_pipeline(columns, _boosted(preset, seed), inside), outside, "p_boosted"), "p_forest").select("label", "times", "p_boosted", "p_forest")
             out = part if out is None else out.unionByName(part)
+        out = staging.table(out)
         meta = _pipeline(["p_boosted", "p_forest"], LogisticRegression(featuresCol="kw_features", labelCol="label", weightCol="times", regParam=1e-4, maxIter=100), out)
+        staging.drop(out)
         return Matcher(columns, boosted, forest, meta)
     finally:
-        rows.unpersist()
+        staging.drop(stored)
 
 
 def score(matcher: Matcher, rows: DataFrame) -> DataFrame:

@@ -408,3 +408,21 @@ def test_stream(spark, sides, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("s1_id", "cand_id", "rank")
     want = blocking.block_v1(s1, targets, 300, 5, "truncate").select("s1_id", "cand_id", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_training_rows_are_a_table(spark, monkeypatch):
+    """Nothing is cached beside the trees' own rows, which a small executor would write to its disk; no table stays."""
+    from pyspark.sql import DataFrame
+
+    from kinweave.sources import staging
+
+    def refused(*_):
+        raise AssertionError("cached")
+
+    monkeypatch.setattr(DataFrame, "persist", refused)
+    made = list(staging._made)
+    rows = spark.range(80).select(F.format_string("S1-%02d", F.col("id") % 20).alias("s1_id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.col("id") % 3 / 10).alias("x"), F.lit(2).alias("times"))
+    model = models.train(rows, ["x"], models.Preset(2, 2, 0.3, 2, 2))
+    assert model.forest and model.meta and staging._made == made
+    assert models.auc(models.score(model, rows)) == 1.0
+    assert models.train(rows.drop("times"), ["x"], models.Preset(2, 2, 0.3)).meta is None
